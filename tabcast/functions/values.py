@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabcast.functions import sql
 from tabcast.functions.words import MISSING_LABEL
 
 # Date formats tried in order; a text must match the pattern and then parse.
@@ -51,9 +52,9 @@ def normalise_text(value: Column) -> Column:
     return F.lower(F.trim(value))
 
 
-def compact(text: Column) -> Column:
-    """Stand-in for a text in distinct counts: long texts shuffle as a SHA-256 of the whole text."""
-    return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
+def compact(text: str) -> str:
+    """SQL stand-in for a text in distinct counts: long texts shuffle as a SHA-256 of the whole text."""
+    return f"if(length({text}) > 64, sha2({text}, 256), {text})"
 
 
 def to_number(value: Column) -> Column:
@@ -62,21 +63,21 @@ def to_number(value: Column) -> Column:
     return F.nanvl(number, F.lit(None))
 
 
+def parse_sql(text: str, fmt: str, pattern: str) -> str:
+    """SQL timestamp of a text that matches one format, else null."""
+    parsed = f"cast(try_to_timestamp({text}, {sql.text(fmt)}) as timestamp_ntz)"
+    return f"case when {text} rlike {sql.text(pattern)} then {parsed} end"
+
+
 def parse_date(value: Column, formats=DATE_FORMATS) -> Column:
     """Timestamp (without zone) by the first format that fits, or null."""
-    tries = [_parse(value, fmt, pattern) for fmt, pattern in formats]
+    tries = [
+        F.when(value.rlike(pattern), F.try_to_timestamp(value, F.lit(fmt)).cast("timestamp_ntz"))
+        for fmt, pattern in formats
+    ]
     return F.coalesce(*tries)
 
 
-def _parse(value: Column, fmt: str, pattern: str) -> Column:
-    parsed = F.try_to_timestamp(value, F.lit(fmt)).cast("timestamp_ntz")
-    return F.when(value.rlike(pattern), parsed)
-
-
-def fits_format(value: Column, fmt: str, pattern: str) -> Column:
-    return F.coalesce(_parse(value, fmt, pattern).isNotNull(), F.lit(False))
-
-
 def whole_year(value: Column) -> Column:
     """True for a number that can be read as a calendar year."""
     return value.between(1000, 2999) & (value == F.floor(value))

@@ -2,10 +2,10 @@
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabcast.functions import bands, values
+from tabcast.functions import bands, sql, values
 from tabcast.operators import order
 from tabcast.operators.linear import t_two_sided
 from tabcast.operators.profile import long_form
@@ -14,11 +14,11 @@ from tabcast.operators.profile import long_form
 PAIRS_PER_PASS = 60
 
 
-def pearson(x: str, y: str) -> Column:
-    """Correlation over rows complete in both columns; null when either is constant."""
-    sxy, sxx, syy = F.regr_sxy(y, x), F.regr_sxx(y, x), F.regr_syy(y, x)
-    r = F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+def pearson(x: str, y: str) -> str:
+    """SQL correlation over rows complete in both columns; null when either is constant."""
+    pair = f"({sql.name(y)}, {sql.name(x)})"
+    r = f"try_divide(regr_sxy{pair}, sqrt(regr_sxx{pair}) * sqrt(regr_syy{pair}))"
+    return f"greatest(least({r}, 1D), -1D)"
 
 
 def raw_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -27,10 +27,7 @@ def raw_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     result = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = long_form(df, [
-            F.struct(
-                F.lit(a).alias("c1"), F.lit(b).alias("c2"),
-                F.regr_count(b, a).alias("n"), pearson(a, b).alias("r"),
-            )
+            sql.struct(c1=sql.text(a), c2=sql.text(b), n=f"regr_count({sql.name(b)}, {sql.name(a)})", r=pearson(a, b))
             for a, b in pairs[start:start + PAIRS_PER_PASS]
         ])
         result = part if result is None else result.unionByName(part)
@@ -61,7 +58,7 @@ def collinear_pairs(df: DataFrame, columns: list[str], limit: float = bands.COLL
 
 def pearson_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n, r, R2, t, strength and direction of one pair."""
-    row = df.agg(F.regr_count(y, x).alias("n"), pearson(x, y).alias("r"))
+    row = df.agg(F.regr_count(y, x).alias("n"), F.expr(pearson(x, y)).alias("r"))
     r, n = F.col("r"), F.col("n")
     return row.select(
         "n", "r", (r * r).alias("r2"),

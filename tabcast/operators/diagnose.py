@@ -76,7 +76,7 @@ def scatter_report(df: DataFrame, y: str, pred: str) -> DataFrame:
     """One row: median error as a share of the range, and systematic bias."""
     rows = df.select(F.col(y).alias("y"), (F.col(pred) - F.col(y)).alias("gap"), F.abs(F.col(pred) - F.col(y)).alias("size"))
     median = order.quantiles(rows, ["size"], [0.5])["size"][0]
-    row = rows.agg(median.alias("median_error"), F.avg("gap").alias("bias"), (F.max("y") - F.min("y")).alias("y_range"))
+    row = rows.agg(F.expr(median).alias("median_error"), F.avg("gap").alias("bias"), (F.max("y") - F.min("y")).alias("y_range"))
     share = F.when(F.col("y_range") > 0, F.col("median_error") / F.col("y_range") * 100).otherwise(0.0)
     side = (
         F.when(F.abs("bias") < 0.02 * F.col("y_range"), "none").when(F.col("bias") > 0, "over").otherwise("under")

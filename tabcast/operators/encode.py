@@ -8,7 +8,7 @@ rows by a lookup, so a column may have any number of labels.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabcast.functions import values
+from tabcast.functions import sql, values
 from tabcast.operators import order
 from tabcast.sources.tables import feature_columns
 
@@ -62,7 +62,7 @@ def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]
     if not columns:
         return {}
     found = order.quantiles(df, columns, [0.5])
-    return df.agg(*[found[c][0].cast("double").alias(c) for c in columns]).first().asDict()
+    return df.selectExpr(*[f"cast({found[c][0]} as double) as {sql.name(c)}" for c in columns]).first().asDict()
 
 
 def scale_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -70,9 +70,9 @@ def scale_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, flo
     stats: dict = {}
     for start in range(0, len(columns), COLUMNS_PER_PASS):
         batch = columns[start:start + COLUMNS_PER_PASS]
-        wanted = [F.avg(c).alias(f"m{i}") for i, c in enumerate(batch)]
-        wanted += [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(batch)]
-        row = df.agg(*wanted).first()
+        wanted = [f"avg({sql.name(c)}) as m{i}" for i, c in enumerate(batch)]
+        wanted += [f"stddev_pop({sql.name(c)}) as s{i}" for i, c in enumerate(batch)]
+        row = df.selectExpr(*wanted).first()
         stats |= {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0) for i, c in enumerate(batch)}
     return stats
 

@@ -46,6 +46,10 @@ class LinearFit:
     intercept: float
     moments: Moments
 
+    def rounded(self, digits: int) -> "LinearFit":
+        """The same model with its numbers rounded, as when they are published."""
+        return LinearFit(self.features, np.round(self.coef, digits), round(self.intercept, digits), self.moments)
+
     def predict(self) -> Column:
         """Prediction as column arithmetic."""
         value = F.lit(float(self.intercept))
@@ -60,8 +64,8 @@ def moments(df: DataFrame, features: list[str], target: str, by: str | None = No
     keep = [by] if by else []
     rows = df.select(*keep, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)]).dropna()
     size = len(names)
-    wanted = [F.avg(f"v{i}").alias(f"m{i}") for i in range(size)]
-    wanted += [F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in combinations_with_replacement(range(size), 2)]
+    wanted = [F.expr(f"avg(v{i}) as m{i}") for i in range(size)]
+    wanted += [F.expr(f"covar_pop(v{i}, v{j}) as c{i}_{j}") for i, j in combinations_with_replacement(range(size), 2)]
     gathered: dict = {}
     for start in range(0, len(wanted), MOMENTS_PER_PASS):
         batch = wanted[start:start + MOMENTS_PER_PASS]
@@ -163,13 +167,13 @@ def ols(df: DataFrame, target: str, features: list[str]) -> tuple[DataFrame, Dat
     variance = error / free if free > 0 else math.nan
     inverse = _inverse(xx)
     mean = m.mean[:-1]
-    spread = [1 / m.n + mean @ inverse @ mean, *np.diag(inverse)]
+    spread = [1 / m.n + float(mean @ inverse @ mean), *np.diag(inverse).tolist()]
     terms = []
-    for name, coef, share in zip(["const", *features], [fit.intercept, *fit.coef], spread):
+    for name, coef, share in zip(["const", *features], [fit.intercept, *fit.coef.tolist()], spread):
         se = math.sqrt(variance * share) if variance * share >= 0 else math.nan
         t = coef / se if se > 0 else math.nan
         p = t_two_sided(t, free)
-        terms.append((name, float(coef), se, float(t), p, 1 - p))
+        terms.append((name, coef, se, t, p, 1 - p))
     table = spark.createDataFrame(terms, "term string, coef double, std_error double, t double, p double, e_value double")
     table = table.withColumn("tier", F.when(F.col("term") != "const", bands.below(F.col("p"), bands.P_TIER)))
     r2 = 1 - error / total if total > 0 else math.nan

@@ -11,6 +11,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabcast.functions import sql
+
 # A group of at most this many values may be sorted by one task.
 SMALL_GROUP = 1_000_000
 # A lookup table of at most this many rows may be broadcast.
@@ -94,19 +96,16 @@ def _value_at(data: DataFrame, position: int, small: int):
     return running.where(F.col("upto") > position).orderBy("value").first()["value"]
 
 
-def quantiles(df: DataFrame, columns: list[str], probabilities: list[float], small: int = SMALL_GROUP) -> dict[str, list[Column]]:
-    """Exact interpolated quantiles as columns to use inside one ``df.agg``.
+def quantiles(df: DataFrame, columns: list[str], probabilities: list[float], small: int = SMALL_GROUP) -> dict[str, list[str]]:
+    """Exact interpolated quantiles as SQL to use inside one ``df.agg``.
 
     Below ``small`` rows these are the built-in aggregate; above it, its
     value map would not fit one task and literals found by ``values_at``
     take its place.
     """
     if at_most(df, small):
-        return {
-            c: [F.percentile(F.col(c), F.lit(float(p))) for p in probabilities]
-            for c in columns
-        }
-    return {c: [F.lit(v) for v in _far_quantiles(df, c, probabilities, small)] for c in columns}
+        return {c: [f"percentile({sql.name(c)}, {float(p)!r})" for p in probabilities] for c in columns}
+    return {c: [sql.number(v) for v in _far_quantiles(df, c, probabilities, small)] for c in columns}
 
 
 def _far_quantiles(df: DataFrame, column: str, probabilities: list[float], small: int) -> list[float | None]:

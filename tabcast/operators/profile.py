@@ -1,76 +1,83 @@
 """Column profiles: moments, quantiles, frequencies, nulls and ranges."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabcast.functions import sql
 from tabcast.functions import values as V
 from tabcast.operators import order
 
 
-def long_form(df: DataFrame, structs: list[Column]) -> DataFrame:
+def long_form(df: DataFrame, structs: list[str]) -> DataFrame:
     """One aggregate row turned into one row per struct."""
-    return df.agg(F.array(*structs).alias("rows")).select(F.inline("rows"))
+    return df.agg(F.expr(f"array({', '.join(structs)})").alias("rows")).select(F.inline("rows"))
 
 
-def distinct_of(df: DataFrame, column: str) -> Column:
+def distinct_of(df: DataFrame, column: str) -> str:
     """What to count distinct: long texts stand in by a hash of the whole text."""
     text = df.schema[column].dataType.simpleString() == "string"
-    return V.compact(F.col(column)) if text else F.col(column)
+    return V.compact(sql.name(column)) if text else sql.name(column)
 
 
-def _nulls(column: str) -> Column:
-    return F.count_if(F.col(column).isNull())
+def count_distinct(df: DataFrame, columns: dict[str, str], exact: bool = True) -> DataFrame:
+    """(column, n_unique) of SQL expressions, in a scan of its own.
+
+    Distinct counts spread every row over the columns and shuffle the distinct
+    values; no other aggregate should ride along in those rows.
+    """
+    counter = "count(distinct {})" if exact else "approx_count_distinct({})"
+    return long_form(df, [
+        sql.struct(column=sql.text(c), n_unique=counter.format(value)) for c, value in columns.items()
+    ])
+
+
+def _nulls(column: str) -> str:
+    return f"count_if({sql.name(column)} is null)"
+
+
+def _moments(c: str, digits: int) -> dict[str, str]:
+    x = sql.name(c)
+    return {
+        "mean": f"round(avg({x}), {digits})",
+        "std": f"round(stddev_samp({x}), {digits})",
+        "min": f"round(cast(min({x}) as double), {digits})",
+        "max": f"round(cast(max({x}) as double), {digits})",
+    }
 
 
-def profile_numeric(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
+def profile_numeric(df: DataFrame, columns: list[str], digits: int = 4, exact: bool = True) -> DataFrame:
     """mean, sample std, min, max, median, distinct and null counts per column."""
     medians = order.quantiles(df, columns, [0.5])
-    return long_form(df, [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.round(F.avg(c), digits).alias("mean"),
-            F.round(F.stddev_samp(c), digits).alias("std"),
-            F.round(F.min(c).cast("double"), digits).alias("min"),
-            F.round(F.max(c).cast("double"), digits).alias("max"),
-            F.round(medians[c][0], digits).alias("median"),
-            F.countDistinct(c).alias("n_unique"),
-            _nulls(c).alias("nulls"),
+    stats = long_form(df, [
+        sql.struct(
+            column=sql.text(c), **_moments(c, digits),
+            median=f"round({medians[c][0]}, {digits})", nulls=_nulls(c),
         )
         for c in columns
     ])
+    return stats.join(count_distinct(df, {c: sql.name(c) for c in columns}, exact), "column")
 
 
 def describe(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """count, mean, std, min, quartiles and max per column."""
     quartiles = order.quantiles(df, columns, [0.25, 0.5, 0.75])
     return long_form(df, [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.count(c).alias("n"),
-            F.round(F.avg(c), digits).alias("mean"),
-            F.round(F.stddev_samp(c), digits).alias("std"),
-            F.round(F.min(c).cast("double"), digits).alias("min"),
-            *[F.round(q, digits).alias(name) for q, name in zip(quartiles[c], ("q25", "q50", "q75"))],
-            F.round(F.max(c).cast("double"), digits).alias("max"),
+        sql.struct(
+            column=sql.text(c), n=f"count({sql.name(c)})", **_moments(c, digits),
+            **{label: f"round({q}, {digits})" for label, q in zip(("q25", "q50", "q75"), quartiles[c])},
         )
         for c in columns
     ])
 
 
 def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
-    counter = F.countDistinct if exact else F.approx_count_distinct
-    return long_form(df, [
-        F.struct(F.lit(c).alias("column"), counter(distinct_of(df, c)).alias("n_unique")) for c in columns
-    ])
+    return count_distinct(df, {c: distinct_of(df, c) for c in columns}, exact)
 
 
 def null_share(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of nulls in percent, to one decimal."""
     return long_form(df, [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.round(F.lit(100.0) * F.avg(F.col(c).isNull().cast("double")), 1).alias("null_percent"),
-        )
+        sql.struct(column=sql.text(c), null_percent=f"round(100D * avg(cast({sql.name(c)} is null as double)), 1)")
         for c in columns
     ])
 
@@ -110,17 +117,10 @@ def modes(df: DataFrame, columns: list[str], by: list[str] | None = None) -> Dat
 
 def profile_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct and null counts with the three most frequent values."""
-    counts = long_form(df, [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.countDistinct(distinct_of(df, c)).alias("n_unique"),
-            _nulls(c).alias("nulls"),
-        )
-        for c in columns
-    ])
+    nulls = long_form(df, [sql.struct(column=sql.text(c), nulls=_nulls(c)) for c in columns])
     places = [F.max(F.when(F.col("place") == i, F.col("value"))).alias(f"top{i}") for i in (1, 2, 3)]
     best = top_values(df, columns, 3).groupBy("column").agg(*places)
-    return counts.join(best, "column", "left")
+    return nulls.join(distinct_counts(df, columns), "column").join(best, "column", "left")
 
 
 def choices(df: DataFrame, column: str, k: int = 20) -> DataFrame:
@@ -131,10 +131,10 @@ def choices(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 def range_defaults(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
     """Default sweep range of each column."""
     return long_form(df, [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.round(F.min(c).cast("double"), digits).alias("low"),
-            F.round(F.max(c).cast("double"), digits).alias("high"),
+        sql.struct(
+            column=sql.text(c),
+            low=f"round(cast(min({sql.name(c)}) as double), {digits})",
+            high=f"round(cast(max({sql.name(c)}) as double), {digits})",
         )
         for c in columns
     ])

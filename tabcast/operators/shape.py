@@ -5,7 +5,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabcast.functions import values
+from tabcast.functions import sql, values
 from tabcast.operators import order
 from tabcast.operators.profile import long_form
 
@@ -34,29 +34,27 @@ def histogram(df: DataFrame, column: str, bins: int = 25) -> DataFrame:
 
 def boxplot(df: DataFrame, columns: list[str], standardise: bool = True) -> DataFrame:
     """Quartiles, whiskers that reach data within 1.5 IQR, and outliers per column."""
-    parts = ("q1", "q2", "q3")
+    parts = ("q25", "q50", "q75")
     quartiles = order.quantiles(df, columns, [0.25, 0.5, 0.75])
-    wanted = [q.alias(f"{c}|{name}") for c in columns for q, name in zip(quartiles[c], parts)]
-    wanted += [F.avg(c).alias(f"{c}|mean") for c in columns] + [F.stddev_samp(c).alias(f"{c}|std") for c in columns]
-    got = df.agg(*wanted).first().asDict()
+    wanted = []
+    for i, c in enumerate(columns):
+        wanted += [f"{q} as {part}_{i}" for q, part in zip(quartiles[c], parts)]
+        wanted += [f"avg({sql.name(c)}) as mean_{i}", f"stddev_samp({sql.name(c)}) as std_{i}"]
+    got = df.selectExpr(*wanted).first()
     rows = []
-    for c in columns:
-        q1, q2, q3 = (got[f"{c}|{name}"] for name in parts)
-        mean, std = (got[f"{c}|mean"], got[f"{c}|std"]) if standardise else (0.0, 1.0)
+    for i, c in enumerate(columns):
+        q1, q2, q3 = (got[f"{part}_{i}"] for part in parts)
+        mean, std = (got[f"mean_{i}"], got[f"std_{i}"]) if standardise else (0.0, 1.0)
         reach = None if q1 is None else 1.5 * (q3 - q1)
-        low_limit, high_limit = (None, None) if q1 is None else (q1 - reach, q3 + reach)
-        inside = F.col(c).between(F.lit(low_limit).cast("double"), F.lit(high_limit).cast("double"))
-
-        def scaled(value):
-            return F.try_divide(value - F.lit(mean).cast("double"), F.lit(std).cast("double"))
-
-        rows.append(F.struct(
-            F.lit(c).alias("column"),
-            *[scaled(F.lit(q).cast("double")).alias(name) for q, name in zip((q1, q2, q3), ("q25", "q50", "q75"))],
-            scaled(F.min(F.when(inside, F.col(c)))).alias("whisker_low"),
-            scaled(F.max(F.when(inside, F.col(c)))).alias("whisker_high"),
-            F.count_if(~inside).alias("n_outliers"),
-        ))
+        low, high = (None, None) if q1 is None else (q1 - reach, q3 + reach)
+        x = sql.name(c)
+        inside = f"{x} between {sql.number(low)} and {sql.number(high)}"
+        values_of = {
+            "q25": sql.number(q1), "q50": sql.number(q2), "q75": sql.number(q3),
+            "whisker_low": f"min(case when {inside} then {x} end)", "whisker_high": f"max(case when {inside} then {x} end)",
+        }
+        scaled = {label: f"try_divide({v} - {sql.number(mean)}, {sql.number(std)})" for label, v in values_of.items()}
+        rows.append(sql.struct(column=sql.text(c), **scaled, n_outliers=f"count_if(not ({inside}))"))
     return long_form(df, rows)
 
 

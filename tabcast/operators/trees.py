@@ -6,6 +6,7 @@ import re
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +35,27 @@ def boosting(target: str, rounds: int = TREES, depth: int = 3, step: float = 0.1
     )
 
 
+def fit(estimator, rows: DataFrame):
+    """Fit on rows kept in memory (or on disk) for the many passes of a tree model.
+
+    Rows in fewer partitions than there are cores are spread first.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    kept = rows.select(estimator.getFeaturesCol(), estimator.getLabelCol())
+    if kept.rdd.getNumPartitions() < cores:
+        kept = kept.repartition(cores)
+    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(kept)
+    finally:
+        kept.unpersist()
+
+
 def cross_validate(df: DataFrame, target: str, fold: str, estimator) -> DataFrame:
     """(fold, n, r2) with one fit per fold; ``df`` already has ``features``."""
     result = None
     for held in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        model = estimator.fit(df.where(F.col(fold) != held))
+        model = fit(estimator, df.where(F.col(fold) != held))
         scored = model.transform(df.where(F.col(fold) == held))
         part = evaluate.metrics(scored, target, "pred").select(F.lit(held).alias("fold"), "n", "r2")
         result = part if result is None else result.unionByName(part)

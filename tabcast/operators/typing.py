@@ -1,11 +1,13 @@
 """Semantic type of every column, from one aggregate over the table."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabcast.functions import sql
 from tabcast.functions import values as V
 from tabcast.functions import words
+from tabcast.operators.profile import count_distinct, distinct_of
 
 # Aggregated columns per scan; a wider table takes several scans.
 COLUMNS_PER_PASS = 50
@@ -30,70 +32,61 @@ def _kind(dtype: T.DataType) -> str:
     return "float" if V.is_number_type(dtype) else "other"
 
 
-def _evidence(field: T.StructField, name: str, exact: bool, raw: bool) -> Column:
-    """Struct of what one column's values show; unused facts are false.
-
-    ``raw`` adds the distinct count of the values as they are, which differs
-    from ``n_unique`` for texts only.
-    """
-    cell, kind = F.col(field.name), _kind(field.dataType)
-    spaced = V.spaced_name(name)
-    dated = any(k in spaced for k in words.DATE_KEYWORDS)
-    no = F.lit(False)
-    facts = {"parses": no, "binary_words": no, "ordinal_word": no, "years": no}
+def _evidence(field: T.StructField, label: str) -> str:
+    """Struct of what one column's values show; unused facts are false."""
+    cell, kind = sql.name(field.name), _kind(field.dataType)
+    spaced = V.spaced_name(label)
+    facts = {"parses": "false", "binary_words": "false", "ordinal_word": "false", "years": "false"}
     if kind == "text":
-        word = V.normalise_text(cell)
-        distinct_of = V.compact(word)
-        formats = [F.bool_and(F.when(cell.isNotNull(), V.fits_format(cell, *f))) for f in V.DATE_FORMATS]
-        facts["parses"] = F.coalesce(F.greatest(*formats), F.lit(True))
-        facts["binary_words"] = F.coalesce(F.bool_and(word.isin(*words.BINARY_WORDS)), F.lit(True))
-        facts["ordinal_word"] = F.coalesce(F.bool_or(word.isin(*words.ORDINAL_WORDS)), no)
-    else:
-        distinct_of = cell
-        if dated and kind in ("int", "float"):
-            facts["years"] = F.coalesce(F.bool_and(V.whole_year(cell)), no)
-    count = F.countDistinct if exact else F.approx_count_distinct
-    extra = [count(V.compact(cell) if kind == "text" else cell).alias("n_distinct")] if raw else []
-    return F.struct(
-        F.lit(name).alias("column"),
-        F.lit(kind).alias("kind"),
-        F.lit(any(k in spaced for k in words.ID_KEYWORDS)).alias("id_name"),
-        F.count(cell).alias("n"),
-        count(distinct_of).alias("n_unique"),
-        *extra,
-        *[fact.alias(label) for label, fact in facts.items()],
+        word = f"lower(trim({cell}))"
+        formats = [
+            f"bool_and(case when {cell} is not null then ({V.parse_sql(cell, *f)}) is not null end)" for f in V.DATE_FORMATS
+        ]
+        facts["parses"] = f"coalesce(greatest({', '.join(formats)}), true)"
+        facts["binary_words"] = f"coalesce(bool_and({word} in {sql.words(words.BINARY_WORDS)}), true)"
+        facts["ordinal_word"] = f"coalesce(bool_or({word} in {sql.words(words.ORDINAL_WORDS)}), false)"
+    elif kind in ("int", "float") and any(k in spaced for k in words.DATE_KEYWORDS):
+        facts["years"] = f"coalesce(bool_and({cell} between 1000 and 2999 and {cell} = floor({cell})), false)"
+    return sql.struct(
+        column=sql.text(field.name), kind=sql.text(kind), id_name=sql.flag(any(k in spaced for k in words.ID_KEYWORDS)),
+        n=f"count({cell})", **facts,
     )
 
 
-def _rule() -> Column:
-    """Number of the first rule that fits, as listed in SURVEY section 1.4."""
-    kind, n, u = F.col("kind"), F.col("n"), F.col("n_unique")
-    unique_id = F.col("id_name") & (u > 0.9 * n)
-    text, whole, real = kind == "text", kind == "int", kind == "float"
-    return (
-        F.when(F.col("years"), 1)
-        .when(kind == "date", 2)
-        .when(text & F.col("parses"), 3)
-        .when(text & F.col("binary_words"), 4)
-        .when(text & F.col("ordinal_word"), 5)
-        .when(text & unique_id, 6)
-        .when(text & ((u <= 20) | (u < 0.05 * n)), 7)
-        .when(text, 8)
-        .when(kind == "bool", 9)
-        .when(whole & (u == 2), 10)
-        .when(whole & unique_id, 11)
-        .when(whole & (u <= 15), 12)
-        .when(whole, 13)
-        .when(real & (u == 2), 14)
-        .when(real, 15)
-        .otherwise(16)
-    )
-
-
-_TYPE_OF_RULE = {
-    "date": (1, 2, 3), "binary": (4, 9, 10, 14), "ordinal": (5, 12), "identifier": (6, 11),
-    "categorical": (7, 16), "text": (8,), "integer": (13,), "continuous": (15,),
-}
+def _compared(field: T.StructField) -> str:
+    """What makes two values of a column the same for the type rules."""
+    cell = sql.name(field.name)
+    return V.compact(f"lower(trim({cell}))") if _kind(field.dataType) == "text" else cell
+
+
+# Number of the first rule that fits, as listed in SURVEY section 1.4.
+RULE = """case
+  when years then 1
+  when kind = 'date' then 2
+  when kind = 'text' and parses then 3
+  when kind = 'text' and binary_words then 4
+  when kind = 'text' and ordinal_word then 5
+  when kind = 'text' and id_name and n_unique > 0.9 * n then 6
+  when kind = 'text' and (n_unique <= 20 or n_unique < 0.05 * n) then 7
+  when kind = 'text' then 8
+  when kind = 'bool' then 9
+  when kind = 'int' and n_unique = 2 then 10
+  when kind = 'int' and id_name and n_unique > 0.9 * n then 11
+  when kind = 'int' and n_unique <= 15 then 12
+  when kind = 'int' then 13
+  when kind = 'float' and n_unique = 2 then 14
+  when kind = 'float' then 15
+  else 16 end"""
+
+TYPE_OF_RULE = """case
+  when rule in (1, 2, 3) then 'date'
+  when rule in (4, 9, 10, 14) then 'binary'
+  when rule in (5, 12) then 'ordinal'
+  when rule in (6, 11) then 'identifier'
+  when rule in (7, 16) then 'categorical'
+  when rule = 8 then 'text'
+  when rule = 13 then 'integer'
+  when rule = 15 then 'continuous' end"""
 
 
 def detect_types(df: DataFrame, names: dict[str, str] | None = None, exact: bool = True) -> DataFrame:
@@ -107,18 +100,25 @@ def detect_types(df: DataFrame, names: dict[str, str] | None = None, exact: bool
 
 
 def _detected(df: DataFrame, names: dict[str, str], exact: bool, raw: bool) -> DataFrame:
+    """Facts and distinct counts per column; ``raw`` adds ``n_distinct`` of the values as they are."""
     fields = typed_fields(df)
     result = None
     for start in range(0, len(fields), COLUMNS_PER_PASS):
         batch = fields[start:start + COLUMNS_PER_PASS]
-        facts = [_evidence(f, names.get(f.name, f.name), exact, raw) for f in batch]
-        part = df.agg(F.array(*facts).alias("facts"), F.count(F.lit(1)).alias("n_rows"))
+        facts = [_evidence(f, names.get(f.name, f.name)) for f in batch]
+        part = df.agg(F.expr(f"array({', '.join(facts)})").alias("facts"), F.expr("count(1)").alias("n_rows"))
         part = part.select("n_rows", F.inline("facts"))
+        counts = {f.name: _compared(f) for f in batch}
+        if raw:
+            counts |= {f"{f.name}|raw": distinct_of(df, f.name) for f in batch if _kind(f.dataType) == "text"}
+        unique = count_distinct(df, counts, exact)
+        part = part.join(unique, "column")
+        if raw:
+            as_is = unique.where(F.col("column").endswith("|raw")).select(
+                F.regexp_replace("column", r"\|raw$", "").alias("column"), F.col("n_unique").alias("n_distinct"))
+            part = part.join(as_is, "column", "left").withColumn("n_distinct", F.coalesce("n_distinct", "n_unique"))
         result = part if result is None else result.unionByName(part)
-    kind = F.lit(None).cast("string")
-    for label, rules in _TYPE_OF_RULE.items():
-        kind = F.when(F.col("rule").isin(*rules), label).otherwise(kind)
-    return result.withColumn("rule", _rule()).withColumn("type", kind)
+    return result.withColumn("rule", F.expr(RULE)).withColumn("type", F.expr(TYPE_OF_RULE))
 
 
 def type_map(detected: DataFrame) -> dict[str, str]:
@@ -130,23 +130,18 @@ def type_counts(detected: DataFrame) -> DataFrame:
     return detected.groupBy("type").agg(F.count(F.lit(1)).alias("n_columns"))
 
 
-def type_label(kind: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in words.TYPE_LABELS.items() for x in pair])[kind]
-
-
-def type_advice(kind: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in words.TYPE_ADVICE.items() for x in pair])[kind]
+TYPE_LABEL = sql.table_lookup(words.TYPE_LABELS, "type")
+TYPE_ADVICE = sql.table_lookup(words.TYPE_ADVICE, "type")
 
 
 def with_advice(detected: DataFrame) -> DataFrame:
-    return detected.select("column", "type", type_advice(F.col("type")).alias("advice"))
+    return detected.selectExpr("column", "type", f"{TYPE_ADVICE} as advice")
 
 
 def explore_table(df: DataFrame, exact: bool = True) -> DataFrame:
     """Type, label, distinct values, share of nulls in percent and advice per column."""
     found = _detected(df, {}, exact, raw=True)
-    share = F.lit(100.0) * (F.col("n_rows") - F.col("n")) / F.greatest(F.col("n_rows"), F.lit(1))
-    return found.select(
-        "column", "type", type_label(F.col("type")).alias("label"), "n_distinct",
-        F.round(share, 1).alias("null_percent"), type_advice(F.col("type")).alias("advice"),
+    return found.selectExpr(
+        "column", "type", f"{TYPE_LABEL} as label", "n_distinct",
+        "round(100D * (n_rows - n) / greatest(n_rows, 1), 1) as null_percent", f"{TYPE_ADVICE} as advice",
     )

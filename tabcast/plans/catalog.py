@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabcast.operators import assoc, typing
-from tabcast.plans import profile_queries  # noqa: F401  (registers its queries)
+from tabcast.plans import model_queries, profile_queries, run_queries  # noqa: F401  (they register queries)
 from tabcast.plans.registry import QUERIES, SQL, table
 from tabcast.sources.tables import columns_of_type
 

@@ -188,7 +188,7 @@ def analysis_log(analyses: DataFrame, owner: str | None = None) -> DataFrame:
     """All analyses, newest first; missing or zero metrics read as a dash."""
     rows = _owned(analyses, owner)
     shown = {
-        f"{m}_text": F.when(F.col(m).isNull() | (F.col(m) == 0), "—").otherwise(F.format_number(m, "0.0000"))
+        f"{m}_text": F.when(F.col(m).isNull() | (F.col(m) == 0), "—").otherwise(F.format_string("%.4f", m))
         for m in ("r2", "mse", "mae", "cv_r2_mean") if m in rows.columns
     }
     return rows.withColumns(shown).orderBy(F.desc("created_at"), "analysis_id")

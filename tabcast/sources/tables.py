@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabcast.functions import sql
 from tabcast.functions import values as V
 from tabcast.functions.words import MISSING_WORDS
 
@@ -26,24 +27,26 @@ def read_table(
         reader = spark.read.format(fmt)
         return V.nan_to_null((reader.schema(schema) if schema else reader).load(path))
     cells = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
-    cells = cells.select([F.when(~F.col(c).isin(*MISSING_WORDS), F.col(c)).alias(c) for c in cells.columns])
+    cells = cells.selectExpr(*[
+        f"case when {sql.name(c)} not in {sql.words(MISSING_WORDS)} then {sql.name(c)} end as {sql.name(c)}" for c in cells.columns
+    ])
     types = {f.name: f.dataType.simpleString() for f in schema} if schema else infer_types(cells)
-    return cells.select([F.col(c).try_cast(types[c]).alias(c) for c in cells.columns])
+    return cells.selectExpr(*[f"try_cast({sql.name(c)} as {types[c]}) as {sql.name(c)}" for c in cells.columns])
 
 
 def infer_types(cells: DataFrame) -> dict[str, str]:
     """Narrowest of bigint, double, boolean and string that every cell fits, in one pass."""
     fits = []
-    for c in cells.columns:
-        cell = F.col(c)
+    for i, c in enumerate(cells.columns):
+        x = sql.name(c)
         fits += [
-            F.bool_and(cell.rlike(r"^\s*[+-]?[0-9]{1,19}\s*$") & cell.try_cast("bigint").isNotNull()).alias(f"{c}|bigint"),
-            F.bool_and(cell.try_cast("double").isNotNull() & ~cell.rlike("[dDfF]$")).alias(f"{c}|double"),
-            F.bool_and(F.lower(cell).isin("true", "false")).alias(f"{c}|boolean"),
+            f"bool_and({x} rlike '^ *[+-]?[0-9]{{1,19}} *$' and try_cast({x} as bigint) is not null) as bigint_{i}",
+            f"bool_and(try_cast({x} as double) is not null and not {x} rlike '[dDfF]$') as double_{i}",
+            f"bool_and(lower({x}) in ('true', 'false')) as boolean_{i}",
         ]
-    found = cells.agg(*fits).first().asDict()
+    found = cells.selectExpr(*fits).first()
     order = ("bigint", "double", "boolean")
-    return {c: next((t for t in order if found[f"{c}|{t}"]), "string") for c in cells.columns}
+    return {c: next((t for t in order if found[f"{t}_{i}"]), "string") for i, c in enumerate(cells.columns)}
 
 
 def work_folder(spark: SparkSession) -> str:
