@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabcast.functions import bands, sql, values
-from tabcast.operators import order
+from tabcast.operators import comoment, order
 from tabcast.operators.linear import t_two_sided
 from tabcast.operators.profile import long_form
 
-# Pairs per scan: each holds three running moments.
-PAIRS_PER_PASS = 60
+# Pairs per scan of built-in aggregates: more would outgrow what the JVM compiles.
+PAIRS_PER_PASS = 7
+# Wider sets of columns go through matrix sums, in one scan.
+BUILT_IN_COLUMNS = 8
 
 
 def pearson(x: str, y: str) -> str:
@@ -24,6 +26,8 @@ def pearson(x: str, y: str) -> str:
 def raw_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(c1, c2, n, r) for every pair, pairwise complete, unrounded."""
     pairs = list(combinations(columns, 2))
+    if len(columns) > BUILT_IN_COLUMNS:
+        return _wide_pairs(df, columns)
     result = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = long_form(df, [
@@ -34,6 +38,22 @@ def raw_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return result
 
 
+def _wide_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """All pairs of many columns from matrix sums."""
+    names = df.sparkSession.createDataFrame(
+        [(i, j, columns[i], columns[j]) for i, j in combinations(range(len(columns)), 2)], "i int, j int, c1 string, c2 string")
+    sums = comoment.pair_sums(df, columns, comoment.centres(df, columns))
+    result = sums.join(names, ["i", "j"])
+    around = {"xx": ("sxx", "sx", "sx"), "yy": ("syy", "sy", "sy"), "xy": ("sxy", "sx", "sy")}
+    result = result.selectExpr(
+        "c1", "c2", "cast(n as bigint) as n", "sxx", "syy",
+        *[f"{s} - try_divide({a} * {b}, n) as {label}" for label, (s, a, b) in around.items()])
+    # What is left of a constant after shifting is rounding noise.
+    return result.selectExpr(
+        "c1", "c2", "n",
+        "case when xx > 1e-12 * sxx and yy > 1e-12 * syy then greatest(least(xy / (sqrt(xx) * sqrt(yy)), 1D), -1D) end as r")
+
+
 def pearson_pairs(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     """All pairs with strength, direction and meaning."""
     size = F.abs("r")

@@ -1,7 +1,7 @@
-"""Linear models from one pass of centred moments, with classical inference.
+"""Linear models from centred moments, with classical inference.
 
-The table is read once into counts, means and covariances (built-in
-aggregates, per fold when cross-validating). What is solved on the driver
+The table is read into counts, means and covariances (per fold when
+cross-validating). What is solved on the driver
 has the size of the feature list, not of the table.
 """
 
@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabcast.functions import bands
+from tabcast.operators import comoment
 
-# Moments per scan.
-MOMENTS_PER_PASS = 150
-# More features than this go to the iterative solver of Spark ML.
-MAX_FEATURES = 40
+# Moments per scan of built-in aggregates: more would outgrow what the JVM compiles.
+MOMENTS_PER_PASS = 25
+# Wider models take matrix sums, in one scan.
+BUILT_IN_COLUMNS = 8
+# More features than this go to the solver of Spark ML.
+MAX_FEATURES = 255
 
 
 @dataclass
@@ -64,6 +67,8 @@ def moments(df: DataFrame, features: list[str], target: str, by: str | None = No
     keep = [by] if by else []
     rows = df.select(*keep, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)]).dropna()
     size = len(names)
+    if size > BUILT_IN_COLUMNS:
+        return _wide_moments(rows, size, by)
     wanted = [F.expr(f"avg(v{i}) as m{i}") for i in range(size)]
     wanted += [F.expr(f"covar_pop(v{i}, v{j}) as c{i}_{j}") for i, j in combinations_with_replacement(range(size), 2)]
     gathered: dict = {}
@@ -74,6 +79,20 @@ def moments(df: DataFrame, features: list[str], target: str, by: str | None = No
     return {key: _as_moments(got, size) for key, got in gathered.items()}
 
 
+def _wide_moments(rows: DataFrame, size: int, by: str | None) -> dict:
+    columns = [f"v{i}" for i in range(size)]
+    centre = np.array(comoment.centres(rows, columns))
+    found: dict = {}
+    for row in comoment.pair_sums(rows, columns, centre.tolist(), by).collect():
+        key = row["key"] if by else None
+        m = found.setdefault(key, Moments(0, np.zeros(size), np.zeros((size, size))))
+        i, j, n = row["i"], row["j"], row["n"]
+        m.n = int(n)
+        m.mean[i], m.mean[j] = centre[i] + row["sx"] / n, centre[j] + row["sy"] / n
+        m.co[i, j] = m.co[j, i] = row["sxy"] - row["sx"] * row["sy"] / n
+    return found or {None: Moments(0, np.zeros(size), np.zeros((size, size)))}
+
+
 def _as_moments(got: dict, size: int) -> Moments:
     n = got["n"]
     if n == 0:

@@ -3,10 +3,10 @@
 import json
 import re
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,7 +106,7 @@ def array_quantile(ordered: Column, share: float, size: int) -> Column:
 def tree_interval(model, df: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Add ``pred``, ``ci_low`` and ``ci_high`` from the spread of a forest's trees."""
     size = model.getNumTrees
-    rows = tree_predictions(model, df).withColumn("by_tree", F.array_sort("by_tree"))
+    rows = tree_predictions(model, df).withColumn("by_tree", F.sort_array("by_tree"))
     return rows.withColumns({
         "ci_low": array_quantile(F.col("by_tree"), low, size),
         "ci_high": array_quantile(F.col("by_tree"), high, size),

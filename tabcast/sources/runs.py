@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tabcast.operators import order
 
@@ -47,6 +48,14 @@ class RunStore:
     def predictions(self) -> DataFrame:
         return self._read("predictions", PREDICTIONS)
 
+    def has(self, table: str) -> bool:
+        """True once something was saved to a table."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root)
+
+    def model_path(self) -> str:
+        return f"{self.root}/models/{uuid.uuid4()}"
+
     def save_dataset(
         self, owner: str, filename: str, n_rows: int, types: dict[str, str],
         numeric: DataFrame | None, categorical: DataFrame | None, pairs: DataFrame | None,
@@ -75,14 +84,12 @@ class RunStore:
     def save_analysis(self, owner: str, **fields) -> str:
         """One training run; field names are those of the analyses table."""
         analysis_id = str(uuid.uuid4())
-        names = {f.name: f for f in _schema(self.spark, ANALYSES)}
+        names = {f.name: f for f in _fields(ANALYSES)}
         unknown = set(fields) - set(names)
         if unknown:
             raise ValueError(f"unknown fields {sorted(unknown)}")
         values = {"analysis_id": analysis_id, "owner": owner, **fields}
         given = [f for name, f in names.items() if name in values]
-        from pyspark.sql.types import StructType
-
         row = self.spark.createDataFrame([tuple(values[f.name] for f in given)], StructType(given))
         if "created_at" not in values:
             row = row.withColumn("created_at", F.current_timestamp())
@@ -108,15 +115,13 @@ class RunStore:
         return dict(row[0]) if row else {}
 
 
-def _schema(spark: SparkSession, ddl: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)
+def _fields(ddl: str) -> list[StructField]:
+    return StructType.fromDDL(ddl).fields
 
 
 def _conform(rows: DataFrame, ddl: str) -> DataFrame:
     """All columns of the table in order; those not given are null."""
-    fields = _schema(rows.sparkSession, ddl).fields
+    fields = _fields(ddl)
     return rows.select([
         (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
     ])
