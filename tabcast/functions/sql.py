@@ -32,3 +32,8 @@ def struct(**fields: str) -> str:
 def table_lookup(pairs: dict[str, str], key: str) -> str:
     """Value of ``key`` in a fixed map of texts."""
     return "map(" + ", ".join(f"{text(k)}, {text(v)}" for k, v in pairs.items()) + f")[{key}]"
+
+
+def spread(variance: str, mean: str) -> str:
+    """A variance, or null when it is no more than rounding around a constant."""
+    return f"case when {variance} > 1e-24 * ({mean}) * ({mean}) then {variance} end"

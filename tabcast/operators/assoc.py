@@ -11,7 +11,7 @@ from tabcast.operators.linear import t_two_sided
 from tabcast.operators.profile import long_form
 
 # Pairs per scan of built-in aggregates: more would outgrow what the JVM compiles.
-PAIRS_PER_PASS = 7
+PAIRS_PER_PASS = 5
 # Wider sets of columns go through matrix sums, in one scan.
 BUILT_IN_COLUMNS = 8
 
@@ -19,8 +19,13 @@ BUILT_IN_COLUMNS = 8
 def pearson(x: str, y: str) -> str:
     """SQL correlation over rows complete in both columns; null when either is constant."""
     pair = f"({sql.name(y)}, {sql.name(x)})"
-    r = f"try_divide(regr_sxy{pair}, sqrt(regr_sxx{pair}) * sqrt(regr_syy{pair}))"
-    return f"greatest(least({r}, 1D), -1D)"
+    sxx = sql.spread(f"regr_sxx{pair}", f"regr_avgx{pair}")
+    syy = sql.spread(f"regr_syy{pair}", f"regr_avgy{pair}")
+    return f"try_divide(regr_sxy{pair}, sqrt({sxx}) * sqrt({syy}))"
+
+
+# Rounding may carry |r| past one. ``least`` and ``greatest`` would turn a null into a bound.
+WITHIN_ONE = "case when r > 1 then 1D when r < -1 then -1D else r end as r"
 
 
 def raw_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,7 +38,7 @@ def raw_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
         part = long_form(df, [
             sql.struct(c1=sql.text(a), c2=sql.text(b), n=f"regr_count({sql.name(b)}, {sql.name(a)})", r=pearson(a, b))
             for a, b in pairs[start:start + PAIRS_PER_PASS]
-        ])
+        ]).selectExpr("c1", "c2", "n", WITHIN_ONE)
         result = part if result is None else result.unionByName(part)
     return result
 
@@ -51,7 +56,8 @@ def _wide_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     # What is left of a constant after shifting is rounding noise.
     return result.selectExpr(
         "c1", "c2", "n",
-        "case when xx > 1e-12 * sxx and yy > 1e-12 * syy then greatest(least(xy / (sqrt(xx) * sqrt(yy)), 1D), -1D) end as r")
+        "case when xx > 1e-12 * sxx and yy > 1e-12 * syy then xy / (sqrt(xx) * sqrt(yy)) end as r",
+    ).selectExpr("c1", "c2", "n", WITHIN_ONE)
 
 
 def pearson_pairs(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
@@ -78,7 +84,7 @@ def collinear_pairs(df: DataFrame, columns: list[str], limit: float = bands.COLL
 
 def pearson_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n, r, R2, t, strength and direction of one pair."""
-    row = df.agg(F.regr_count(y, x).alias("n"), F.expr(pearson(x, y)).alias("r"))
+    row = df.agg(F.regr_count(y, x).alias("n"), F.expr(pearson(x, y)).alias("r")).selectExpr("n", WITHIN_ONE)
     r, n = F.col("r"), F.col("n")
     return row.select(
         "n", "r", (r * r).alias("r2"),
@@ -134,11 +140,10 @@ def spearman_pair(df: DataFrame, x: str, y: str, small: int = order.BROADCAST_RO
 def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: least-squares slope and intercept of y on x, with the range of x."""
     full = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    return full.agg(
-        F.try_divide(F.regr_sxy("y", "x"), F.regr_sxx("y", "x")).alias("slope"),
-        F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"),
-        F.min("x").alias("low"), F.max("x").alias("high"),
-    ).select("slope", (F.col("y_mean") - F.col("slope") * F.col("x_mean")).alias("intercept"), "low", "high")
+    sxx = sql.spread("regr_sxx(y, x)", "avg(x)")
+    return full.selectExpr(
+        f"try_divide(regr_sxy(y, x), {sxx}) as slope", "avg(x) as x_mean", "avg(y) as y_mean", "min(x) as low", "max(x) as high",
+    ).selectExpr("slope", "y_mean - slope * x_mean as intercept", "low", "high")
 
 
 def line_points(df: DataFrame, x: str, y: str, points: int = 200) -> DataFrame:
@@ -150,7 +155,12 @@ def line_points(df: DataFrame, x: str, y: str, points: int = 200) -> DataFrame:
 
 def zscores(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """Columns standardised by the sample deviation; a constant column gives null."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns]).first()
+    wanted = []
+    for i, c in enumerate(columns):
+        x = sql.name(c)
+        wanted += [f"avg({x}) as m{i}", f"sqrt({sql.spread(f'var_samp({x})', f'avg({x})')}) as s{i}"]
+    stats = df.selectExpr(*wanted).first()
     return df.select(key, *[
-        F.try_divide(F.col(c) - F.lit(stats[f"m_{c}"]), F.lit(stats[f"s_{c}"])).alias(c) for c in columns
+        F.expr(f"try_divide({sql.name(c)} - {sql.number(stats[f'm{i}'])}, {sql.number(stats[f's{i}'])})").alias(c)
+        for i, c in enumerate(columns)
     ])

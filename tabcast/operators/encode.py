@@ -14,7 +14,7 @@ from tabcast.sources.tables import feature_columns
 
 LABELLED = ("binary", "categorical", "ordinal")
 UNKNOWN_CODE = -1
-COLUMNS_PER_PASS = 100
+COLUMNS_PER_PASS = 20
 
 
 def label_map(df: DataFrame, column: str) -> DataFrame:
@@ -71,7 +71,9 @@ def scale_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, flo
     for start in range(0, len(columns), COLUMNS_PER_PASS):
         batch = columns[start:start + COLUMNS_PER_PASS]
         wanted = [f"avg({sql.name(c)}) as m{i}" for i, c in enumerate(batch)]
-        wanted += [f"stddev_pop({sql.name(c)}) as s{i}" for i, c in enumerate(batch)]
+        wanted += [
+            f"sqrt({sql.spread(f'var_pop({sql.name(c)})', f'avg({sql.name(c)})')}) as s{i}" for i, c in enumerate(batch)
+        ]
         row = df.selectExpr(*wanted).first()
         stats |= {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0) for i, c in enumerate(batch)}
     return stats

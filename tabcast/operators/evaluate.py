@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabcast.functions import bands, values
+from tabcast.functions import bands, sql, values
 from tabcast.operators import order
 
 # Fixed values of the split: a multiplicative hash modulo a Mersenne prime.
@@ -51,7 +51,7 @@ def metric_columns(y: str, pred: str) -> dict[str, Column]:
     error = F.col(y) - F.col(pred)
     mse = F.avg(error * error)
     return {
-        "r2": 1 - F.try_divide(mse, F.var_pop(y)),
+        "r2": 1 - F.try_divide(mse, F.expr(sql.spread(f"var_pop({sql.name(y)})", f"avg({sql.name(y)})"))),
         "mse": mse,
         "mae": F.avg(F.abs(error)),
         "rmse": F.sqrt(mse),

@@ -90,7 +90,7 @@ def _wide_moments(rows: DataFrame, size: int, by: str | None) -> dict:
         m.n = int(n)
         m.mean[i], m.mean[j] = centre[i] + row["sx"] / n, centre[j] + row["sy"] / n
         m.co[i, j] = m.co[j, i] = row["sxy"] - row["sx"] * row["sy"] / n
-    return found or {None: Moments(0, np.zeros(size), np.zeros((size, size)))}
+    return {key: _settled(m) for key, m in found.items()} or {None: Moments(0, np.zeros(size), np.zeros((size, size)))}
 
 
 def _as_moments(got: dict, size: int) -> Moments:
@@ -100,7 +100,15 @@ def _as_moments(got: dict, size: int) -> Moments:
     co = np.zeros((size, size))
     for i, j in combinations_with_replacement(range(size), 2):
         co[i, j] = co[j, i] = n * got[f"c{i}_{j}"]
-    return Moments(n, np.array([got[f"m{i}"] for i in range(size)]), co)
+    return _settled(Moments(n, np.array([got[f"m{i}"] for i in range(size)]), co))
+
+
+def _settled(m: Moments) -> Moments:
+    """Co-moments of columns that only rounding keeps from being constant become zero."""
+    moving = np.diag(m.co) > 1e-24 * m.n * m.mean * m.mean
+    m.co[~moving, :] = 0.0
+    m.co[:, ~moving] = 0.0
+    return m
 
 
 def _inverse(co: np.ndarray) -> np.ndarray:

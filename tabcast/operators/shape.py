@@ -39,7 +39,8 @@ def boxplot(df: DataFrame, columns: list[str], standardise: bool = True) -> Data
     wanted = []
     for i, c in enumerate(columns):
         wanted += [f"{q} as {part}_{i}" for q, part in zip(quartiles[c], parts)]
-        wanted += [f"avg({sql.name(c)}) as mean_{i}", f"stddev_samp({sql.name(c)}) as std_{i}"]
+        std = sql.spread(f"var_samp({sql.name(c)})", f"avg({sql.name(c)})")
+        wanted += [f"avg({sql.name(c)}) as mean_{i}", f"sqrt({std}) as std_{i}"]
     got = df.selectExpr(*wanted).first()
     rows = []
     for i, c in enumerate(columns):
@@ -69,7 +70,7 @@ def kde(df: DataFrame, column: str, points: int = 1000) -> DataFrame:
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.min(x).alias("lo"), F.max(x).alias("hi"), F.approx_count_distinct(x).alias("distinct"),
     ).first()
-    if not s["std"]:
+    if s["lo"] == s["hi"]:
         raise ValueError(f"{column} needs two different values")
     rows = df.select(((x - F.lit(s["mean"])) / F.lit(s["std"])).alias("z")).where("z is not null")
     if s["distinct"] * 10 < s["n"]:

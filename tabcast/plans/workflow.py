@@ -3,6 +3,7 @@
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +119,8 @@ def train(
     prep = Preprocessor(types, key, label_order)
     prep.fit(rows.drop("is_test") if fit_scope == "all" else rows.where("not is_test").drop("is_test"), target)
     ready = evaluate.kfold(prep.transform(rows, (key, target, "is_test")), key, folds)
+    # Read by the fit, every fold and the metrics; lost blocks are computed again.
+    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     training, held = ready.where("not is_test"), ready.where("is_test")
     history = None
     if algorithm == "auto":
@@ -141,6 +144,7 @@ def train(
     score = evaluate.metrics_banded(scored, target, "pred").first().asDict()
     cv = evaluate.cv_summary(cv_scores).first().asDict()
     n_train = training.count()
+    ready.unpersist()
     names = [c.removeprefix("z_") for c in prep.outputs]
     result = Trained(
         target, algorithm, prep, model, score, cv, n_train, score["n"], total - n_train - score["n"], score["y_range"], scored,

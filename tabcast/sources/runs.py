@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -50,8 +51,11 @@ class RunStore:
 
     def has(self, table: str) -> bool:
         """True once something was saved to a table."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root)
+        try:
+            self.spark.read.schema("owner string").parquet(f"{self.root}/{table}")
+        except AnalysisException:
+            return False
+        return True
 
     def model_path(self) -> str:
         return f"{self.root}/models/{uuid.uuid4()}"
