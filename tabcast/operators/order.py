@@ -79,6 +79,7 @@ def _value_at(data: DataFrame, position: int, small: int):
             F.count_if((value > low) & (value < high)),
             F.count_if((value == high) & (value > low)),
         ).first()
+        before = left
         if position < under:
             inside, left = inside.where(value < low), under
         elif position < under + at_low:
@@ -91,6 +92,17 @@ def _value_at(data: DataFrame, position: int, small: int):
         else:
             gone = under + at_low + between + at_high
             inside, left, position = inside.where(value > high), left - gone, position - gone
+        if left == before:
+            # The sketch works on doubles, too coarse for these whole numbers: halve the range instead.
+            least, most = inside.agg(F.min("value"), F.max("value")).first()
+            if least == most:
+                return least
+            middle_value = typed_literal(least + (most - least) // 2, dtype)
+            under = inside.where(value <= middle_value).count()
+            if position < under:
+                inside, left = inside.where(value <= middle_value), under
+            else:
+                inside, left, position = inside.where(value > middle_value), left - under, position - under
     seen = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = inside.groupBy("value").count().withColumn("upto", F.sum("count").over(seen))
     return running.where(F.col("upto") > position).orderBy("value").first()["value"]
