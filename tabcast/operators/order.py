@@ -116,7 +116,9 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float], sma
     take its place.
     """
     if at_most(df, small):
-        return {c: [f"percentile({sql.name(c)}, {float(p)!r})" for p in probabilities] for c in columns}
+        # One aggregate per column, whatever the number of quantiles: equal calls are computed once.
+        shares = ", ".join(repr(float(p)) for p in probabilities)
+        return {c: [f"percentile({sql.name(c)}, array({shares}))[{i}]" for i in range(len(probabilities))] for c in columns}
     return {c: [sql.number(v) for v in _far_quantiles(df, c, probabilities, small)] for c in columns}
 
 
