@@ -39,11 +39,13 @@ def infer_types(cells: DataFrame) -> dict[str, str]:
     fits = []
     for i, c in enumerate(cells.columns):
         x = sql.name(c)
-        fits += [
-            f"bool_and({x} rlike '^ *[+-]?[0-9]{{1,19}} *$' and try_cast({x} as bigint) is not null) as bigint_{i}",
-            f"bool_and(try_cast({x} as double) is not null and not {x} rlike '[dDfF]$') as double_{i}",
-            f"bool_and(lower({x}) in ('true', 'false')) as boolean_{i}",
-        ]
+        tests = {
+            "bigint": f"{x} rlike '^ *[+-]?[0-9]{{1,19}} *$' and try_cast({x} as bigint) is not null",
+            "double": f"try_cast({x} as double) is not null and not {x} rlike '[dDfF]$'",
+            "boolean": f"lower({x}) in ('true', 'false')",
+        }
+        # Missing cells say nothing about the type.
+        fits += [f"bool_and(case when {x} is not null then {test} end) as {t}_{i}" for t, test in tests.items()]
     found = cells.selectExpr(*fits).first()
     order = ("bigint", "double", "boolean")
     return {c: next((t for t in order if found[f"{t}_{i}"]), "string") for i, c in enumerate(cells.columns)}
