@@ -109,9 +109,8 @@ def split_counts(spark, d):
     return evaluate.split_counts(table(spark, d, "orders"), "o_orderkey")
 
 
-FOLDS = """folds AS (SELECT *, CAST(CASE WHEN place < 5 * (size + 0) AND size < 0 THEN 0 ELSE
-    (SELECT count(*) FROM range(1, 5) g(i) WHERE place >= i * (n // 5) + least(i, n % 5)) END AS INTEGER) AS fold
-  FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n, count(*) OVER () AS size FROM orders))"""
+FOLDS = """folds AS (SELECT *, CAST((SELECT count(*) FROM range(1, 5) g(i) WHERE place >= i * (n // 5) + least(i, n % 5)) AS INTEGER) AS fold
+  FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders))"""
 
 
 @query("kfold_assign", f"WITH {FOLDS} SELECT o_orderkey, fold FROM folds")
