@@ -5,7 +5,8 @@ others, so a substituted word under a zero leaves the hash unchanged. Every
 mask is laid at every place of every benchmark item and of every document;
 equal hashes are hits. A hit fixes a diagonal (document place less item
 place), along which the words are compared around the hit; an overlap counts
-when enough words agree over the best stretch.
+when it holds a stretch in which at least ``min_words`` words and ``share`` of
+all words agree; the stretch with most agreeing words is reported.
 
 The hashes of the benchmark are joined with those of the documents where the
 documents are read: the benchmark is dealt into blocks of at most ``block``
@@ -40,8 +41,6 @@ SHARE = 0.8
 BLOCK_WORDS = 500_000
 # Words whose places are hashed in one go.
 _TOGETHER = 1 << 16
-# Loss of a differing word against a gain of 1: a stretch at SHARE breaks even or better.
-_LOSS = SHARE / (1 - SHARE)
 
 
 def _salt(ones: tuple[int, ...]) -> np.ndarray:
@@ -125,13 +124,15 @@ class Index:
         same = hashes[low + shift : high + shift] == item[low:high]
         if len(item) < self.min_words:
             return (shift, len(item), int(same.sum())) if len(same) == len(item) and same.mean() >= self.share else None
-        gains = np.where(same, 1.0, -_LOSS)
-        sums = np.concatenate(([0.0], np.cumsum(gains)))
-        drops = np.minimum.accumulate(sums)
-        end = int(np.argmax(sums - drops))
-        start = int(np.flatnonzero(sums[: end + 1] == drops[end])[0])
-        agree = int(same[start:end].sum())
-        if agree < self.min_words or agree < self.share * (end - start):
+        # A stretch holds the share where its sum of gains and losses is not negative.
+        sums = np.concatenate(([0.0], np.cumsum(np.where(same, 1 - self.share, -self.share)))).round(9)
+        ahead = np.maximum.accumulate(sums[::-1])  # largest sum from each place on, last place first
+        ends = len(same) - np.searchsorted(ahead, sums, "left")
+        agrees = np.concatenate(([0], np.cumsum(same)))
+        found = agrees[ends] - agrees
+        start = int(np.lexsort((ends - np.arange(len(ends)), -found))[0])
+        end, agree = int(ends[start]), int(found[start])
+        if agree < self.min_words:
             return None
         return low + shift + start, end - start, agree
 

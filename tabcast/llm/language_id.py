@@ -136,10 +136,10 @@ def classify_column(text: Column, contents: dict[str, bytes], context=None, **se
     return classified(text)
 
 
-def identify(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text", name: str = "_language", **settings) -> DataFrame:
-    """The documents with a struct column ``name``."""
-    context = docs.sparkSession.sparkContext
-    return docs.withColumn(name, classify_column(docs[text_col], contents, context, **settings))
+def identify(docs: DataFrame, contents: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """(id, lang_pred, score, rejected) of every document."""
+    found = classify_column(docs[text_col], contents, docs.sparkSession.sparkContext, **settings)
+    return docs.select(docs[id_col], found.alias("_found")).select(id_col, "_found.*")
 
 
 def accepted(docs: DataFrame, contents: dict[str, bytes], text_col: str = "text", **settings) -> DataFrame:

@@ -212,7 +212,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col], scan_column(docs[text_col], **settings).alias("found")).select(id_col, "found.*")
 
 
-def license_digest(scanned: DataFrame) -> DataFrame:
+def license_digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Numbers and labels of a scan: the base phrases' places, and all labels."""
     base = F.filter("matches", lambda m: m["kind"] == "phrase")
     full = F.exists("matches", lambda m: m["kind"] == "template")
@@ -222,7 +222,7 @@ def license_digest(scanned: DataFrame) -> DataFrame:
         return F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
 
     return scanned.withColumn("base", base).select(
-        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        id_col, "n_words", F.size("base").cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         joined(F.col("base")).alias("base_labels"), joined(F.col("matches")).alias("labels"),
         F.when(full, FULL).when(F.size("base") > 0, PART).otherwise(0.0).alias("score"),

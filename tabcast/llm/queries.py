@@ -68,7 +68,7 @@ def op5(spark, folder):
     learnt = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     contents = language_id.train(learnt)
     found = language_id.identify(docs, contents)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_language.lang_pred", "_language.score", "_language.rejected")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 LINE_SQL = """

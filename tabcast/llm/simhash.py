@@ -218,4 +218,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     kept = keyed.join(chosen.distinct(), ["_k1", "_k2"], "left_semi")
     # The rows lie by these two keys already.
     place = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k2"))
-    return kept.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    return kept.withColumn("place", place).where("place = 1").select("row.*")

@@ -253,7 +253,7 @@ def deduplicated(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, prefix: int = PREFIX, tree: int = TREE, digest: bool = False,
 ) -> DataFrame:
     """(id, n_words, n_removed, kept) of every document; ``digest`` gives the SHA-256 of the kept words instead."""
-    keyed = words.with_row_key(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "id", "text")
+    keyed = words.with_row_key(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "id", "text").select(*_KEY, "row.*")
     spans = repeated_spans(keyed, width, prefix, tree).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     column = (_digest_column if digest else _kept_column)(F.col("text"), F.col("spans"), width)
     return keyed.join(spans, _KEY, "left").select(F.col("id").alias(id_col), column.alias("_r")).select(id_col, "_r.*")

@@ -8,7 +8,7 @@ the bytes of a non-ASCII character.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -76,6 +76,11 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of word hashes: what ``window_hashes`` gives for such a window."""
+    return mixed((rows * _UP[: rows.shape[1]]).sum(axis=1, dtype=np.uint64))
+
+
 def starts_of_runs(keys: np.ndarray) -> np.ndarray:
     """Where a new value starts in a sorted or grouped array."""
     if not len(keys):
@@ -83,18 +88,15 @@ def starts_of_runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
 
 
-def with_row_key(docs: DataFrame, id_col: str, text_col: str, names: tuple[str, str] = ("_k1", "_k2")) -> DataFrame:
-    """Add two 64-bit columns that tell rows apart by id and text.
+def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, _k1, _k2): the whole row as a struct, and two 64-bit columns that tell rows apart by id and text.
 
     Both are never null and hold whatever the id's type; rows that repeat id
-    and text share them, so such rows are treated alike.
+    and text share them, so such rows are treated alike. No column of the
+    input can clash with them.
     """
     ident, text = docs[id_col], docs[text_col]
-    return docs.withColumns({names[0]: F.xxhash64(ident), names[1]: F.xxhash64(text, ident)})
-
-
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return docs.select(F.struct("*").alias("row"), F.xxhash64(ident).alias("_k1"), F.xxhash64(text, ident).alias("_k2"))
 
 
 _shipped: set[str] = set()
