@@ -13,13 +13,15 @@ there.
 * An anchor that starts only one segment is a leaf: nothing repeats.
 * If all segments of an anchor are equal, or a segment has an equal, they lie
   on one path down to the full depth: all their words go.
-* Other segments come with their words. The windows of an anchor with at most
-  ``TREE`` different segments are sorted by their words in one task, which
-  gives the subtree flat: suffixes in order with the common prefix of
-  neighbours. Nodes at full depth are repeats.
-* Anchors with more get the longest prefix, the whole window, as partition:
-  every member of such a group is one node at full depth, and a count tells
-  whether it has two leaves. Counts are combined before they move.
+* Other segments come with their words. The windows of an anchor are sorted by
+  their words in one task, which gives the subtree flat: suffixes in order
+  with the common prefix of neighbours. Nodes at full depth are repeats.
+* An anchor with more than ``TREE`` different segments is dealt into parts of
+  about that size, each with a subtree of its own. What is a single leaf in
+  its part gets the longest prefix, the whole window, as partition, together
+  with one leaf of each node at full depth: a count over these tells whether
+  other parts have the window. So a passage in a third of all documents is
+  combined before it moves.
 
 Anchors and segments are compared by 64-bit hashes, both for one segment;
 windows by their words' hashes.
@@ -91,7 +93,7 @@ def _segments(width: int, prefix: int):
 
 def _contents(width: int):
     """mapInArrow function over documents with their open segments: each segment with its words' hashes."""
-    schema = pa.schema([("_k1", pa.int64()), ("_k2", pa.int64()), ("anchor", pa.int64()), ("many", pa.bool_()), ("start", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("_k1", pa.int64()), ("_k2", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("many", pa.bool_()), ("start", pa.int32()), ("words", pa.binary())])
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,48 +103,72 @@ def _contents(width: int):
                 for k1, k2, raw, segments in zip(part.column("_k1").to_pylist(), part.column("_k2").to_pylist(), words.raw_texts(part.column("text")), part.column("segments").to_pylist()):
                     hashes = words.word_hashes(words.space_words(raw))
                     for s in segments:
-                        out.append((k1, k2, s["anchor"], s["many"], s["start"], hashes[s["start"] : s["start"] + s["n"] + width - 1].tobytes()))
+                        out.append((k1, k2, s["anchor"], s["part"], s["many"], s["start"], hashes[s["start"] : s["start"] + s["n"] + width - 1].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return filled
 
 
-_COVERS = pa.schema([("_k1", pa.int64()), ("_k2", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+# A span of repeated windows, or with ``window`` a single leaf (without a place: one of a node's leaves).
+_FOUND = pa.schema([("_k1", pa.int64()), ("_k2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("window", pa.int64())])
+_FOUND_SQL = "_k1 long, _k2 long, start int, n int, window long"
 
 
 def _subtrees(width: int):
-    """mapInArrow function over segments sorted by anchor: the windows that are nodes at full depth."""
+    """mapInArrow function over segments sorted by anchor and part: repeated spans, and open leaves of parts."""
+
+    def spans(owner: np.ndarray, place: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbouring chosen windows as (owner, first place, number)."""
+        own, at = owner[chosen], place[chosen]
+        starts = words.starts_of_runs(own * (1 << 32) + at - np.arange(len(at)))
+        return own[starts], at[starts], np.diff(np.append(starts, len(at)))
 
     def repeats(held: list[tuple]) -> pa.RecordBatch:
+        k1, k2 = (np.array([h[j] for h in held], np.int64) for j in (0, 1))
+        group = np.array([h[5] for h in held])
+        partial = np.array([h[3] for h in held])
         owner, place, rows = [], [], []
-        for i, (_, _, start, raw) in enumerate(held):
+        for i, (_, _, start, _, raw, _) in enumerate(held):
             windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint64), width)
             rows.append(windows)
             owner.append(np.full(len(windows), i))
             place.append(np.arange(start, start + len(windows)))
         owner, place, rows = np.concatenate(owner), np.concatenate(place), np.concatenate(rows)
-        # Suffixes in the order of their words, and how many words neighbours have in common.
-        order = np.lexsort(rows.T[::-1])
+        # Suffixes in the order of their words, part by part, and how many words neighbours have in common.
+        order = np.lexsort((*rows.T[::-1], group[owner]))
         equal = rows[order[1:]] == rows[order[:-1]]
         common = np.where(equal.all(axis=1), width, equal.argmin(axis=1))
+        inner = (common >= width) & (group[owner[order[1:]]] == group[owner[order[:-1]]])
+        first = np.append(True, ~inner)  # the first leaf of its node
         deep = np.zeros(len(rows), bool)
-        inner = np.flatnonzero(common >= width)
-        deep[order[inner]] = deep[order[inner + 1]] = True
-        found = np.flatnonzero(deep)
-        k1, k2 = (np.array([h[j] for h in held], np.int64) for j in (0, 1))
-        columns = [k1[owner[found]], k2[owner[found]], place[found].astype(np.int32), np.ones(len(found), np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_COVERS)
+        deep[order] = np.append(inner, False) | ~first
+        own, start, n = spans(owner, place, np.flatnonzero(deep))
+        leaf = np.zeros(len(rows), bool)
+        leaf[order] = first
+        open_ = np.flatnonzero(leaf & partial[owner])
+        hashes = words.row_hashes(rows[open_]).view(np.int64)
+        single = ~deep[open_]
+        lone = lambda values: pa.array(values, mask=~single)
+        columns = [
+            pa.concat_arrays([pa.array(k1[own]), lone(k1[owner[open_]])]), pa.concat_arrays([pa.array(k2[own]), lone(k2[owner[open_]])]),
+            pa.concat_arrays([pa.array(start.astype(np.int32)), lone(place[open_].astype(np.int32))]),
+            pa.concat_arrays([pa.array(n.astype(np.int32)), lone(np.ones(len(open_), np.int32))]),
+            pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(hashes)]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=_FOUND)
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, windows, last = [], 0, None
+        held, windows, last, group = [], 0, None, 0
         for batch in batches:
-            for k1, k2, anchor, start, raw in zip(*(batch.column(c).to_pylist() for c in ("_k1", "_k2", "anchor", "start", "words"))):
-                # Whole groups are sorted together, several small ones at once.
-                if anchor != last and windows >= _SORTED:
-                    yield repeats(held)
-                    held, windows = [], 0
-                last = anchor
-                held.append((k1, k2, start, raw))
+            names = ("_k1", "_k2", "start", "many", "words", "anchor", "part")
+            for k1, k2, start, many, raw, *key in zip(*(batch.column(c).to_pylist() for c in names)):
+                if key != last:
+                    # Whole groups are sorted together, several small ones at once.
+                    if windows >= _SORTED:
+                        yield repeats(held)
+                        held, windows = [], 0
+                    last, group = key, group + 1
+                held.append((k1, k2, start, many, raw, group))
                 windows += len(raw) // 8 - width + 1
         if held:
             yield repeats(held)
@@ -150,23 +176,6 @@ def _subtrees(width: int):
     return built
 
 
-def _windows(width: int):
-    """mapInArrow function over segments: the hash of each window."""
-    schema = pa.schema([("_k1", pa.int64()), ("_k2", pa.int64()), ("start", pa.int32()), ("window", pa.int64())])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                parts = []
-                part = batch.slice(at, 1024)
-                for k1, k2, start, raw in zip(*(part.column(c).to_pylist() for c in ("_k1", "_k2", "start", "words"))):
-                    found = words.window_hashes(np.frombuffer(raw, np.uint64), width).view(np.int64)
-                    parts.append((np.full(len(found), k1), np.full(len(found), k2), np.arange(start, start + len(found), dtype=np.int32), found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
-
-    return hashed
-
-
 def _stored(df: DataFrame) -> DataFrame:
     """A written table in the shared folder: columns compress better than checkpointed rows."""
     import uuid
@@ -188,23 +197,24 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, prefix: int = PREFIX, t
     branching = candidates.where("not one")
     kinds = branching.groupBy("anchor", "same").agg(F.count("*").alias("times"), F.max(F.struct("_k1", "_k2", "start")).alias("rep"))
     kinds = materialise(kinds)
-    sizes = kinds.groupBy("anchor").agg((F.count("*") > tree).alias("many"))
+    sizes = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / tree).cast("int").alias("parts"))
     equal = branching.join(kinds.where("times > 1").select("anchor", "same"), ["anchor", "same"], "left_semi").select(*_KEY, "start", "n")
 
     # One of equal segments stands for them in the tree; the number of windows comes with its row.
     chosen = kinds.select("anchor", "same", "rep._k1", "rep._k2", "rep.start")
     opened = branching.join(chosen, ["anchor", "same", *_KEY, "start"], "left_semi").join(sizes, "anchor")
-    listed = opened.groupBy(*_KEY).agg(F.collect_set(F.struct("anchor", "many", "start", "n")).alias("segments"))
+    opened = opened.withColumns({"part": F.pmod(F.xxhash64(*_KEY, "start"), "parts").cast("int"), "many": F.col("parts") > 1})
+    listed = opened.groupBy(*_KEY).agg(F.collect_set(F.struct("anchor", "part", "many", "start", "n")).alias("segments"))
     filled = _stored(
         text.join(listed, _KEY).select(*_KEY, "text", "segments")
-        .mapInArrow(_contents(width), "_k1 long, _k2 long, anchor long, many boolean, start int, words binary")
+        .mapInArrow(_contents(width), "_k1 long, _k2 long, anchor long, part int, many boolean, start int, words binary")
     )
-    schema = "_k1 long, _k2 long, start int, n int"
-    small = filled.where("not many").repartition("anchor").sortWithinPartitions("anchor")
-    trees = small.select(*_KEY, "anchor", "start", "words").mapInArrow(_subtrees(width), schema)
-    large = _stored(filled.where("many").select(*_KEY, "start", "words").mapInArrow(_windows(width), "_k1 long, _k2 long, start int, window long"))
-    nodes = large.groupBy("window").count().where("count > 1").select("window")
-    deep = large.join(nodes, "window", "left_semi").select(*_KEY, "start", F.lit(1).alias("n"))
+    placed = filled.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    found = _stored(placed.mapInArrow(_subtrees(width), _FOUND_SQL))
+    trees = found.where("window is null").drop("window")
+    leaves = found.where("window is not null")
+    nodes = leaves.groupBy("window").count().where("count > 1").select("window")
+    deep = leaves.where("_k1 is not null").join(nodes, "window", "left_semi").drop("window")
     return paths.unionByName(equal).unionByName(trees).unionByName(deep)
 
 
