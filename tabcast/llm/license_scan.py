@@ -50,7 +50,7 @@ TEMPLATES = {
 }
 # What a word list is scored: a full template, else a phrase alone.
 FULL, PART = 1.0, 0.5
-_MARK = re.compile(r"<<opt>>|<</opt>>|<<var;(\d+)\.\.(\d+)(?:;([^>]+))?>>|[^\s<]+")
+MARK = re.compile(r"<<opt>>|<</opt>>|<<var;(\d+)\.\.(\d+)(?:;([^>]+))?>>|[^\s<]+")
 ANY = None
 
 
@@ -103,7 +103,7 @@ def compile_template(label: str, markup: str) -> Automaton:
         return len(steps) - 1
 
     now = 0
-    for mark in _MARK.finditer(markup):
+    for mark in MARK.finditer(markup):
         text = mark.group()
         if text == "<<opt>>":
             open_at.append(now)
@@ -149,13 +149,6 @@ class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None):
         self.automata = [compile_template(k, v) for k, v in (TEMPLATES if templates is None else templates).items()]
         self.phrases = [(words.folded_words(p.encode()), label) for p, label in (PHRASES if phrases is None else phrases).items()]
-        # A run starts where the anchor's first possible start lies: widest way from the start to it.
-        self.reach = [self._ahead(a) for a in self.automata]
-
-    @staticmethod
-    def _ahead(automaton: Automaton) -> int:
-        """The most words that may precede the anchor in a match."""
-        return automaton.end
 
     def places(self, joined: bytes, phrase: bytes) -> list[int]:
         """Word numbers at which a phrase starts; ``joined`` has a space around every word."""
@@ -174,10 +167,11 @@ class Scanner:
         matches = []
         for phrase, label in self.phrases:
             matches += [(label, "phrase", s, s + len(phrase)) for s in self.places(joined, b" ".join(phrase))]
-        for automaton, ahead in zip(self.automata, self.reach):
+        for automaton in self.automata:
             tried = set()
             for s in self.places(joined, automaton.anchor):
-                tried.update(range(max(0, s - ahead), s + 1))
+                # No match has more words than states before the anchor.
+                tried.update(range(max(0, s - automaton.end), s + 1))
             ends: dict[int, int] = {}
             for s in sorted(tried):
                 e = automaton.run(found, s)

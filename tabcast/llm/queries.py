@@ -39,7 +39,47 @@ def op1(spark, folder):
     return decontaminate.contamination(_documents(spark, folder), table(spark, folder, "benchmark"))
 
 
-@_query("op2_license_scan")
+def _template_regex(markup: str) -> str:
+    """A template as a regular expression over words that each have a space behind them."""
+    out = []
+    for mark in license_scan.MARK.finditer(markup):
+        text, least, most, kind = mark.group(0, 1, 2, 3)
+        if text == "<<opt>>":
+            out.append("(?:")
+        elif text == "<</opt>>":
+            out.append(")?")
+        elif least:
+            out.append(f"(?:{kind or '[^ ]+'} ){{{least},{most}}}")
+        else:
+            out.append(f"{text} ")
+    return " " + "".join(out)
+
+
+def _license_sql() -> str:
+    places = [
+        f"list_filter(range(len(ws)), lambda i: ws[i + 1] = '{a}' AND ws[i + 2] = '{b}'" + (f" AND ws[i + 3] = '{c[0]}')" if c else ")")
+        for a, b, *c in (phrase.split() for phrase in license_scan.PHRASES)
+    ]
+    base = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for p, label in zip(places, license_scan.PHRASES.values()))
+    full = ", ".join(f"CASE WHEN regexp_matches(joined, '{_template_regex(t)}') THEN '{label}' END" for label, t in license_scan.TEMPLATES.items())
+
+    def labels(found):
+        return f"coalesce(array_to_string(list_sort(list_distinct(list_filter({found}, lambda x: x IS NOT NULL))), ','), '')"
+
+    return f"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+joined AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS joined FROM cut),
+met AS (SELECT *, flatten([{', '.join(places)}]) AS starts, [{base}] AS base, [{full}] AS full_ FROM joined)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) AS n_base,
+  CAST(list_min(starts) AS BIGINT) AS first_word, CAST(list_max(starts) AS BIGINT) AS last_word,
+  {labels('base')} AS base_labels, {labels('list_concat(base, full_)')} AS labels,
+  CASE WHEN len(list_filter(full_, lambda x: x IS NOT NULL)) > 0 THEN {license_scan.FULL}::DOUBLE WHEN len(starts) > 0 THEN {license_scan.PART}::DOUBLE ELSE 0::DOUBLE END AS score
+FROM met
+"""
+
+
+@_query("op2_license_scan", _license_sql())
 def op2(spark, folder):
     return license_scan.license_digest(license_scan.license_scan(_documents(spark, folder)))
 

@@ -1,12 +1,18 @@
 """The registered corpus queries and the pipeline on the smallest tables."""
 
 import os
+import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
+from test_corpus_edit import lines_left
+from test_corpus_simhash import slow_components, slow_fingerprint
+from tokenizers import Tokenizer
 
 import __spark_entry__ as job
 import corpus_pipeline
-from tabcast.llm import queries, simhash
+from tabcast.llm import decontaminate, language_id, queries, simhash, words
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -38,6 +44,45 @@ def test_run(spark):
     assert got.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns)
 
 
+def leaks(text, items, index):
+    """Whether a text overlaps an item on any diagonal, with or without a seed hit."""
+    own = words.word_hashes(words.folded_words(text.encode()))
+    for item in items:
+        if len(item) < decontaminate.MIN_ITEM:
+            continue
+        rows, columns = np.nonzero(own[:, None] == item[None, :])
+        shifts, agree = np.unique(rows - columns, return_counts=True)
+        enough = min(decontaminate.MIN_WORDS, decontaminate.SHARE * len(item))
+        if any(index.overlap(own, item, int(shift)) for shift in shifts[agree >= enough]):
+            return True
+    return False
+
+
+def test_run_against_brute_force(spark):
+    """The pieces that come out are those of the documents that plain Python keeps."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    judge = language_id.Classifier(language_id.train(docs))
+    kept = [(r["doc_id"], r["text"]) for r in docs.collect() if not judge.classify(r["text"])[2]]
+    less = lines_left(kept, 2)
+    texts = {ident: less[ident, text] for ident, text in kept}
+    prints = {ident: slow_fingerprint(text, 3) for ident, text in texts.items()}
+    roots = slow_components(prints.values())
+    first = {}
+    for ident in sorted(texts):
+        first.setdefault(roots[prints[ident]], ident)
+    items = [words.word_hashes(words.folded_words(r["text"].encode())) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    clean = [ident for ident in first.values() if not leaks(texts[ident], items, decontaminate.Index())]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = set()
+    for ident in clean:
+        ids = tokenizer.encode(texts[ident], add_special_tokens=False).ids + [1]
+        for n, at in enumerate(range(0, len(ids), 4096)):
+            some = np.array(ids[at : at + 4096], "<u4").tobytes()
+            want.add((ident, n, at, len(some) // 4, zlib.crc32(some)))
+    got = [tuple(r) for r in corpus_pipeline.run(spark, FOLDER).select("doc_id", "piece", "start", "length", "ids_crc32").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_no_near_copies_are_left(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     kept = simhash.keep_one(docs)
