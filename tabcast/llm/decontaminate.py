@@ -23,7 +23,7 @@ one, the best counts. Items with a null id are compared like any, and
 reported with a null id. Of equal overlaps the first place counts.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -136,7 +136,7 @@ class Index:
             return None
         return low + shift + start, end - start, agree
 
-    def matches(self, raws: list[bytes | None]) -> list[list[dict]]:
+    def matches(self, raws: Iterable[bytes | None]) -> list[list[dict]]:
         """For each text its best overlap with each item that it overlaps enough."""
         out: list[list[dict]] = []
         texts: list[np.ndarray] = []

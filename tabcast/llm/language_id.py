@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabcast.llm import words
+
 UNKNOWN = "und"
 SAMPLE = 400
 SHARE_BYTES = 1_000
@@ -130,7 +132,7 @@ def classify_column(text: Column, contents: dict[str, bytes], context=None, **se
     @F.arrow_udf(_TYPE)
     def classified(column: pa.Array) -> pa.Array:
         known = Classifier(held.value if held is not None else contents, **settings)
-        found = [known.classify(t) for t in column.to_pylist()]
+        found = [known.classify(raw and raw.decode()) for raw in words.raw_texts(column)]
         return pa.array([dict(zip(("lang_pred", "score", "rejected"), x)) for x in found], _ARROW)
 
     return classified(text)

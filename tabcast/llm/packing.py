@@ -36,7 +36,7 @@ SLACK = 8
 RUN = 200_000
 FANOUT = 16
 # Texts between white space whose ids a worker keeps; the longest kept.
-KEPT, KEPT_BYTES = 1_000_000, 64
+KEPT, KEPT_BYTES = 700_000, 64
 _MARK = b"\x01"
 # Texts that are encoded together.
 _TOGETHER = 128

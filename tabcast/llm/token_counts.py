@@ -18,6 +18,7 @@ Defined cases: null and empty texts have 0 pre-tokens and 0 tokens.
 """
 
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -93,11 +94,11 @@ class Counter:
         self.trie = Trie(pieces)
         self.kept: dict[bytes, int] = {}
 
-    def count(self, raws: list[bytes | None]) -> list[tuple[int, int]]:
+    def count(self, raws: Iterable[bytes | None]) -> list[tuple[int, int]]:
         """(pre-tokens, tokens) of each text."""
-        out = []
-        for at in range(0, len(raws), 256):
-            texts = [words.space_words(raw or b"") for raw in raws[at : at + 256]]
+        out: list[tuple[int, int]] = []
+        raws = iter(raws)
+        while texts := [words.space_words(raw or b"") for raw in islice(raws, 128)]:
             if len(self.kept) > KEPT:
                 self.kept.clear()
             fresh = set().union(*texts).difference(self.kept)

@@ -5,6 +5,8 @@ Texts reach the functions here as UTF-8 bytes: ``bytes.translate`` and
 the bytes of a non-ASCII character.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,11 +20,14 @@ FOLDED = bytes(
 )
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 1 << 16
+# Texts of a column that are Python objects at one time.
+_AT_ONCE = 128
 
 
-def raw_texts(column: pa.Array) -> list[bytes | None]:
-    """The texts of an Arrow column as UTF-8 bytes; None for null."""
-    return column.cast(pa.large_binary()).to_pylist()
+def raw_texts(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts of an Arrow column as UTF-8 bytes, few of them at a time; None for null."""
+    for at in range(0, len(column), _AT_ONCE):
+        yield from column.slice(at, _AT_ONCE).cast(pa.large_binary()).to_pylist()
 
 
 def space_words(raw: bytes) -> list[bytes]:
