@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tabcast.llm import words
 from tabcast.operators.order import materialise
@@ -35,7 +36,7 @@ from tabcast.operators.order import materialise
 SIZE = 2_047
 PRIOR = 20.0
 # Words a task counts before it emits its sums.
-_HELD = 400_000
+_HELD = 200_000
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,29 +69,37 @@ def _pairs(numbers: np.ndarray, width: int) -> np.ndarray:
     return before * width + numbers
 
 
-def _count_pairs(vocab: list[bytes]):
-    """mapInArrow function over (text, target): (pair, n_background, n_target) sums of the task."""
-    width = len(vocab) + 1
+def _number(vocab: list[bytes], id_field: pa.Field):
+    """mapInArrow function over (id, text): id and vocabulary numbers, two bytes a word in place of the text."""
+    schema = pa.schema([id_field, ("numbers", pa.binary())])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("pair", pa.int32()), ("b", pa.int64()), ("t", pa.int64())])
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: i + 1 for i, w in enumerate(vocab)}
+        for batch in batches:
+            rows = [_numbers(raw, known).astype(np.uint16).tobytes() for raw in words.raw_texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(rows, pa.binary())], schema=schema)
+
+    return numbered
+
+
+def _count_pairs(width: int):
+    """mapInArrow function over (numbers, target): (pair, n_background, n_target) sums of the task."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("pair", pa.int64()), ("b", pa.int64()), ("t", pa.int64())])
         sums = np.zeros((2, width * width), np.int32)
         for batch in batches:
-            for raw, target in zip(words.raw_texts(batch.column("text")), batch.column("target").to_pylist()):
-                numbers = _numbers(raw, known)
-                if not len(numbers):
+            for raw, target in zip(batch.column("numbers").to_pylist(), batch.column("target").to_pylist()):
+                if not raw:
                     continue
-                pairs, n = np.unique(_pairs(numbers, width), return_counts=True)
+                pairs, n = np.unique(_pairs(np.frombuffer(raw, np.uint16).astype(np.int64), width), return_counts=True)
                 sums[0, pairs] += n.astype(np.int32)
                 if target:
                     sums[1, pairs] += n.astype(np.int32)
         seen = np.flatnonzero(sums[0])
         for at in range(0, len(seen), 1 << 18):
             some = seen[at : at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.array(sums[0, some].astype(np.int64)), pa.array(sums[1, some].astype(np.int64))], schema=schema,
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[0, some].astype(np.int64)), pa.array(sums[1, some].astype(np.int64))], schema=schema)
 
     return counted
 
@@ -133,10 +142,16 @@ class Models:
 
 def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, prior: float = PRIOR) -> Models:
     """Both models from all documents; ``targets`` has the target documents' ids in its first column."""
+    if not 0 < size < 1 << 16:
+        raise ValueError("a word number has two bytes")
     vocab = vocabulary(docs, text_col, size)
     marked = targets.select(targets[targets.columns[0]].alias("_id")).where("_id is not null").distinct().withColumn("target", F.lit(True))
-    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text")).join(marked, "_id", "left")
-    counted = texts.select("text", "target").mapInArrow(_count_pairs(vocab), "pair int, b long, t long")
+    kind = docs.schema[id_col].dataType
+    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
+    numbers = texts.mapInArrow(_number(vocab, pa.field("_id", to_arrow_type(kind))), f"_id {kind.simpleString()}, numbers binary")
+    # Targets grow with the documents, so their ids are never broadcast; what moves beside them are word numbers, not texts.
+    joined = numbers.join(marked.hint("merge"), "_id", "left")
+    counted = joined.select("numbers", "target").mapInArrow(_count_pairs(len(vocab) + 1), "pair long, b long, t long")
     sums = materialise(counted.groupBy("pair").agg(F.sum("b").alias("b"), F.sum("t").alias("t")))
     # At most (size + 1) squared rows, whatever the corpus.
     got = sums.toArrow()
