@@ -109,10 +109,10 @@ class Classifier:
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected); the score grows with the margin, 0 to 1."""
-        clean = letters(text or "").encode()
-        if not clean or not self.coders:
+        clean = letters(text or "")
+        if not any(map(str.isalpha, clean)) or not self.coders:
             return UNKNOWN, 0.0, True
-        sizes = self.sizes(clean)
+        sizes = self.sizes(clean.encode())
         best = min(range(len(sizes)), key=sizes.__getitem__)
         others = [s for i, s in enumerate(sizes) if i != best]
         if not others:

@@ -56,6 +56,7 @@ def test_language_narrow_margin(labelled):
     contents = language_id.train(labelled)
     judge = language_id.Classifier(contents, margin=10.0)
     assert judge.classify(spoken(random.Random(1), "aa", 30))[2]
+    assert judge.classify("12 ² ½ !") == ("und", 0.0, True)
     same = language_id.Classifier({"x": b"some text of one language", "y": b"some text of one language"})
     assert same.classify("some text") == ("x", 0.0, True)
 
