@@ -67,8 +67,14 @@ def anchors(hashes: np.ndarray, width: int, prefix: int) -> tuple[np.ndarray, np
 
 
 def _segments(width: int, prefix: int):
-    """mapInArrow function over (k1, k2, text): the segments of each document."""
-    schema = pa.schema([("_k1", pa.int64()), ("_k2", pa.int64()), ("anchor", pa.int64()), ("same", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+    """mapInArrow function over (k1, k2, text): the segments of each document.
+
+    Equal segments of one document repeat each other, whatever else there is:
+    their spans leave without an anchor, and one segment of weight 2 stands for them.
+    """
+    schema = pa.schema([
+        ("_k1", pa.int64()), ("_k2", pa.int64()), ("anchor", pa.int64()), ("same", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("weight", pa.int32()),
+    ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +90,21 @@ def _segments(width: int, prefix: int):
                 np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1, out=begins[1:])
                 slices = zip(begins[first].tolist(), (begins[last + width] - 1).tolist())
                 same = np.fromiter((xxhash.xxh3_64_intdigest(joined[s:e]) for s, e in slices), np.uint64, len(first))
-                parts.append((np.full(len(first), k1), np.full(len(first), k2), anchor.view(np.int64), same.view(np.int64), first.astype(np.int32), (last - first + 1).astype(np.int32)))
+                _, one, kind, times = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+                one, times = np.sort(one), times[kind]
+                again = np.flatnonzero(times > 1)
+                runs = words.starts_of_runs(again - np.arange(len(again)))
+                from_, to = first[again[runs]], last[again[np.append(runs, len(again))[1:] - 1]]
+                rows = (anchor[one].view(np.int64), same[one].view(np.int64), first[one], last[one] - first[one] + 1, np.minimum(times[one], 2))
+                void = np.zeros(len(from_), np.int64)
+                own = [np.concatenate(pair) for pair in zip(rows, (void, void, from_, to - from_ + 1, void))]
+                parts.append((np.full(len(own[0]), k1), np.full(len(own[0]), k2), *own))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
+                k1, k2, anchor, same, start, n, weight = (np.concatenate(c) for c in zip(*parts))
+                none = weight == 0
+                columns = [pa.array(k1), pa.array(k2), pa.array(anchor, mask=none), pa.array(same, mask=none)]
+                columns += [pa.array(c.astype(np.int32)) for c in (start, n, weight)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return cut
 
@@ -188,14 +206,15 @@ def _stored(df: DataFrame) -> DataFrame:
 def repeated_spans(keyed: DataFrame, width: int = WIDTH, prefix: int = PREFIX, tree: int = TREE) -> DataFrame:
     """(k1, k2, start, n): n windows from ``start`` on are repeated. ``keyed`` has _k1, _k2 and text."""
     text = keyed.select(*_KEY, "text")
-    segments = _stored(text.mapInArrow(_segments(width, prefix), "_k1 long, _k2 long, anchor long, same long, start int, n int"))
-    met = segments.groupBy("anchor").agg(F.count("*").alias("times"), F.min("same").alias("low"), F.max("same").alias("high"))
+    segments = _stored(text.mapInArrow(_segments(width, prefix), "_k1 long, _k2 long, anchor long, same long, start int, n int, weight int"))
+    alone = segments.where("anchor is null").select(*_KEY, "start", "n")
+    met = segments.where("anchor is not null").groupBy("anchor").agg(F.sum("weight").alias("times"), F.min("same").alias("low"), F.max("same").alias("high"))
     shared = met.where("times > 1").select("anchor", (F.col("low") == F.col("high")).alias("one"))
     candidates = _stored(segments.join(shared, "anchor"))
     paths = candidates.where("one").select(*_KEY, "start", "n")
 
     branching = candidates.where("not one")
-    kinds = branching.groupBy("anchor", "same").agg(F.count("*").alias("times"), F.max(F.struct("_k1", "_k2", "start")).alias("rep"))
+    kinds = branching.groupBy("anchor", "same").agg(F.sum("weight").alias("times"), F.max(F.struct("_k1", "_k2", "start")).alias("rep"))
     kinds = materialise(kinds)
     sizes = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / tree).cast("int").alias("parts"))
     equal = branching.join(kinds.where("times > 1").select("anchor", "same"), ["anchor", "same"], "left_semi").select(*_KEY, "start", "n")
@@ -215,7 +234,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, prefix: int = PREFIX, t
     leaves = found.where("window is not null")
     nodes = leaves.groupBy("window").count().where("count > 1").select("window")
     deep = leaves.where("_k1 is not null").join(nodes, "window", "left_semi").drop("window")
-    return paths.unionByName(equal).unionByName(trees).unionByName(deep)
+    return alone.unionByName(paths).unionByName(equal).unionByName(trees).unionByName(deep)
 
 
 def kept_words(raw: bytes | None, spans: list[tuple[int, int]], width: int) -> tuple[int, list[bytes]]:
