@@ -69,6 +69,15 @@ def parse_sql(text: str, fmt: str, pattern: str) -> str:
     return f"case when {text} rlike {sql.text(pattern)} then {parsed} end"
 
 
+def formats_sql(text: str) -> str:
+    """SQL number with a bit for each date format that a text parses by; null for null.
+
+    All formats start with a digit, so most plain texts are done after one look.
+    """
+    bits = " | ".join(f"if(({parse_sql(text, *f)}) is not null, {1 << i}, 0)" for i, f in enumerate(DATE_FORMATS))
+    return f"case when {text} is null then null when ascii({text}) between 48 and 57 then {bits} else 0 end"
+
+
 def parse_date(value: Column, formats=DATE_FORMATS) -> Column:
     """Timestamp (without zone) by the first format that fits, or null."""
     tries = [

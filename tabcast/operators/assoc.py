@@ -109,11 +109,13 @@ def study_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def average_ranks(df: DataFrame, column: str, small: int = order.BROADCAST_ROWS) -> DataFrame:
-    """(value, n, avg_rank): each distinct value once, ties share their mean rank."""
-    counts = (
-        df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    )
+def average_ranks(df: DataFrame, column: str, small: int = order.BROADCAST_ROWS, weight: str | None = None) -> DataFrame:
+    """(value, n, avg_rank): each distinct value once, ties share their mean rank.
+
+    ``weight`` names a column that says how many rows a row stands for.
+    """
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(n.alias("n"))
     placed = order.running_total(counts, ["value"], F.col("n"), "before", small)
     return placed.select("value", "n", (F.col("before") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
 
@@ -125,11 +127,13 @@ def spearman_pair(df: DataFrame, x: str, y: str, small: int = order.BROADCAST_RO
     repeated values cost one row; the ranks come back by a skew-safe lookup.
     """
     full = df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna()
-    pairs = full.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    # Counted once on shared storage: ranks, their sizes and hot values are all sought in these pairs.
+    counted = order.materialise(full.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
+    pairs = counted
     for side in ("x", "y"):
-        ranks = average_ranks(full, side, small).select(F.col("value").alias(side), F.col("avg_rank").alias(f"rank_{side}"))
+        ranks = average_ranks(counted, side, small, "w").select(F.col("value").alias(side), F.col("avg_rank").alias(f"rank_{side}"))
         pairs = order.lookup(pairs, ranks, side, "inner", small)
-    middle = (full.count() + 1) / 2.0
+    middle = ((counted.agg(F.sum("w")).first()[0] or 0) + 1) / 2.0
     a, b, w = F.col("rank_x") - middle, F.col("rank_y") - middle, F.col("w")
     return pairs.agg(
         F.sum("w").alias("n"),

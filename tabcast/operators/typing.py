@@ -39,10 +39,8 @@ def _evidence(field: T.StructField, label: str) -> str:
     facts = {"parses": "false", "binary_words": "false", "ordinal_word": "false", "years": "false"}
     if kind == "text":
         word = f"lower(trim({cell}))"
-        formats = [
-            f"bool_and(case when {cell} is not null then ({V.parse_sql(cell, *f)}) is not null end)" for f in V.DATE_FORMATS
-        ]
-        facts["parses"] = f"coalesce(greatest({', '.join(formats)}), true)"
+        # One aggregate: a bit for each format that every value so far fits.
+        facts["parses"] = f"coalesce(bit_and({V.formats_sql(cell)}) > 0, true)"
         facts["binary_words"] = f"coalesce(bool_and({word} in {sql.words(words.BINARY_WORDS)}), true)"
         facts["ordinal_word"] = f"coalesce(bool_or({word} in {sql.words(words.ORDINAL_WORDS)}), false)"
     elif kind in ("int", "float") and any(k in spaced for k in words.DATE_KEYWORDS):
