@@ -112,6 +112,30 @@ def test_lm_scores(spark, docs, rows, size):
             assert r["score"] == pytest.approx(t - b, abs=1e-3)
 
 
+@pytest.mark.parametrize(("hot", "bucket_words"), [(2047, 2_000_000), (20, 50)])
+def test_lm_counts_every_word(spark, docs, rows, hot, bucket_words):
+    """All words are told apart, whether their pairs stay or move."""
+    marked = [r[0] in (1, 4, 7, 15, 40) for r in rows]
+    targets = spark.createDataFrame([(i,) for i in (1, 4, 7, 15, 40)], "doc_id long")
+    want = {(r[0], n): (b, t) for r, (n, b, t) in zip(rows, slow_losses([r[1] for r in rows], marked, 10**9, 20.0))}
+    got = lm_score.cross_entropy_difference(docs, targets, hot=hot, bucket_words=bucket_words).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        b, t = want[r["doc_id"], r["n_words"]]
+        assert (r["h_background"] is None) == (b is None)
+        if b is not None:
+            assert r["h_background"] == pytest.approx(b, rel=1e-4) and r["h_target"] == pytest.approx(t, rel=1e-4)
+
+
+def test_lm_rare_words_tell(spark):
+    """Documents that differ only in words beyond the frequent ones have different scores."""
+    common = " ".join(f"w{i}" for i in range(3000)) + " "
+    rows = [(0, common * 3), (1, common * 3), (2, "rare own words " * 3), (3, "w1 w2 rare own words"), (4, "w1 w2 other new terms")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_score.cross_entropy_difference(docs, docs.where("doc_id = 2").select("doc_id")).collect()}
+    assert got[3] < got[4] - 0.1
+
+
 def test_lm_tells_the_target(spark):
     rng = random.Random(8)
     rows = [(i, spoken(rng, "aa" if i % 2 else "bb", 50)) for i in range(200)]
