@@ -9,7 +9,7 @@ long text, whose own repetitions would otherwise outweigh it.
 Texts are lower-cased and cut to letters and single spaces before either use.
 
 Training reads a bounded sample: for each language at most ``sample`` texts
-(those with the smallest hash of their id and text), of which at most ``share_bytes``
+(different ones, those with the smallest hash), of which at most ``share_bytes``
 bytes each enter a dictionary of at most ``dict_bytes``. Of the sample, lines
 that several languages share go, then texts whose label the dictionaries of
 the sample's other half do not confirm. At most ``languages``
@@ -50,12 +50,14 @@ def letters(text: str) -> str:
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, share_bytes: int = SHARE_BYTES, dict_bytes: int = DICT_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Dictionary content of each language, from a bounded sample of the labelled texts."""
     rows = docs.select(docs[label_col].cast("string").alias("lang"), docs[text_col].alias("text")).where("lang is not null and text is not null")
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    # Copies pass the threshold together, so it follows the number of different texts.
+    texts_of = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n"))
+    counted = texts_of.groupBy("lang").agg(F.sum("n").alias("rows"), F.count("*").alias("texts")).orderBy(F.desc("rows"), "lang").limit(languages).collect()
     if not counted:
         return {}
     # About twice the sample passes the hash threshold, so that ranking sees a bounded number of texts.
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
-    limit = F.create_map(*[x for r in counted for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * (sample + 50) / r["count"])))])
+    limit = F.create_map(*[x for r in counted for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * (sample + 50) / r["texts"])))])
     few = rows.withColumn("place", place).where(F.col("place") <= limit[F.col("lang")])
     # Copies of one text have one place; they are learnt once.
     few = few.select("lang", "place", F.substring("text", 1, share_bytes).alias("text")).distinct()

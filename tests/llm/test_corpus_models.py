@@ -66,6 +66,16 @@ def test_language_sample_is_bounded(labelled):
     assert len(contents) == 2 and all(len(c) <= 200 for c in contents.values())
 
 
+def test_language_sample_follows_texts_not_rows(spark):
+    """Many copies of one page do not crowd out the other texts of a language."""
+    rng = random.Random(5)
+    own, page = [spoken(rng, "aa", 40) for _ in range(50)], spoken(rng, "aa", 40)
+    rows = [(t, "aa") for t in own] + [(spoken(rng, "bb", 40), "bb") for _ in range(60)]
+    copies = spark.range(20_000).selectExpr(f"'{page}' AS text", "'aa' AS lang")
+    contents = language_id.train(spark.createDataFrame(rows, "text string, lang string").union(copies))
+    assert sum(language_id.letters(t).encode() in contents["aa"] for t in own) >= 45
+
+
 def test_language_nothing_learnt(no_docs, docs):
     assert language_id.train(no_docs) == {}
     assert {r["lang_pred"] for r in language_id.identify(docs, {}).collect()} == {"und"}
