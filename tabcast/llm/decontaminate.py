@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask such as ``1101100101`` hashes the words at its ones and ignores the
-others, so a substituted word under a zero leaves the hash unchanged. Every
-mask is laid at every place of every benchmark item and of every document;
+others, so a substituted word under a zero leaves the hash unchanged. The masks
+are chosen so that no overlap that counts escapes all of them. Every mask is laid at every place of every benchmark item and of every document;
 equal hashes are hits. A hit fixes a diagonal (document place less item
 place), along which the words are compared around the hit; an overlap counts
 when it holds a stretch in which at least ``min_words`` words and ``share`` of
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 
 from tabcast.llm import words
 
-# Weight 6, at most 11 long: a run of six words hits the first, and each mask forgives other places.
-MASKS = ("111111", "110110011", "1101010101", "10110010011")
+# Of weight 5: one of them fits somewhere in every stretch of MIN_WORDS agreeing words at SHARE, whichever words differ.
+MASKS = ("111011", "101001101")
+# For items of fewer than MIN_WORDS words: one fits in each that agrees at SHARE over its whole length.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
 MIN_WORDS = 12
 MIN_ITEM = 5
 SHARE = 0.8
@@ -68,6 +70,7 @@ class Index:
     """The words and seed hashes of one block of benchmark items."""
 
     masks: tuple[str, ...] = MASKS
+    short_masks: tuple[str, ...] = SHORT_MASKS
     min_words: int = MIN_WORDS
     min_item: int = MIN_ITEM
     share: float = SHARE
@@ -85,7 +88,7 @@ class Index:
                 self.items.append(hashes)
         found: dict[tuple, list] = {}
         for k, hashes in enumerate(self.items):
-            for mask in self.masks:
+            for mask in self.masks if len(hashes) >= self.min_words else self.short_masks:
                 width = min(len(mask), len(hashes))
                 layout = (_cut(mask, width), width)
                 seeds = _seeds(hashes, *layout)

@@ -1,5 +1,6 @@
 """Decontamination and license scans against brute force."""
 
+import itertools
 import random
 import re
 
@@ -74,6 +75,46 @@ def test_overlaps(spark, bench):
     assert sorted((str(r["doc_id"]) for r in kept.collect())) == sorted(str(d) for d, t in texts if not any(slow_matches(t, x) for _, x in items))
 
 
+def test_masks_miss_no_long_overlap():
+    """Of all patterns that no mask fits, those with the fewest other words have too many to count."""
+    width = max(map(len, decontaminate.MASKS))
+    fits = [sum(1 << (len(m) - 1 - i) for i, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS]
+    free = [not any(s & f == f for f in fits) for s in range(1 << width)]
+    least = {0: 0}  # last words that agree, as bits: fewest other words so far
+    for n in range(1, 101):
+        after = {}
+        for state, other in least.items():
+            for agrees in (0, 1):
+                to = (state << 1 | agrees) & ((1 << width) - 1)
+                if free[to]:
+                    after[to] = min(after.get(to, n), other + 1 - agrees)
+        least = after
+        if n >= decontaminate.MIN_WORDS:
+            other = min(least.values())
+            assert n - other < decontaminate.MIN_WORDS or other > (1 - decontaminate.SHARE) * n + 1e-9, n
+
+
+def test_masks_miss_no_short_item():
+    for n in range(decontaminate.MIN_ITEM, decontaminate.MIN_WORDS):
+        own = [f"w{i}" for i in range(n)]
+        index = decontaminate.Index().build([(1, " ".join(own))])
+        for m in range(int((1 - decontaminate.SHARE) * n + 1e-9) + 1):
+            for places in itertools.combinations(range(n), m):
+                text = " ".join("other" if i in places else w for i, w in enumerate(own))
+                assert index.matches([f"x {text} y".encode()])[0], (n, places)
+
+
+def test_substitutions_at_the_share():
+    rng = random.Random(9)
+    for n in (15, 20, 50, 100):
+        own = [f"w{i}" for i in range(n)]
+        index = decontaminate.Index().build([(1, " ".join(own))])
+        chosen = [set(range(phase, n, 5)) for phase in range(5)] + [set(rng.sample(range(n), n // 5)) for _ in range(200)]
+        for places in chosen:
+            text = " ".join("other" if i in places else w for i, w in enumerate(own))
+            assert index.matches([text.encode()])[0], (n, places)
+
+
 def test_blocks_give_the_same(spark, bench):
     frame, items = bench
     docs = spark.createDataFrame(leaked(items), "doc_id long, text string")
