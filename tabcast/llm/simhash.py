@@ -122,10 +122,21 @@ def _bucket_stars(most: int):
     return stars
 
 
-def _stars(table: DataFrame, probes: DataFrame, most: int) -> DataFrame:
+def _placed(table: DataFrame, probes: DataFrame) -> DataFrame:
+    """Table and probe rows of a key in one partition, sorted.
+
+    Joins before may leave both sides of the union dealt by the key, and the
+    planner then drops an exchange by the key, although adaptive execution may
+    merge the partitions of either side in its own way. Neither side is ever
+    dealt by the hash of the key, so that this exchange stays.
+    """
     met = probes.join(table.select("key").distinct(), "key", "left_semi")
     rows = table.withColumn("probe", F.lit(0)).unionByName(met.withColumn("probe", F.lit(1)))
-    placed = rows.repartition("key").sortWithinPartitions("key", "probe")
+    return rows.withColumn("spot", F.xxhash64("key")).repartition("spot").sortWithinPartitions("key", "probe")
+
+
+def _stars(table: DataFrame, probes: DataFrame, most: int) -> DataFrame:
+    placed = _placed(table, probes)
     return placed.select("key", "probe", "fp").mapInArrow(_bucket_stars(most), "u long, v long")
 
 

@@ -85,8 +85,33 @@ def test_keep_one(docs, rows):
         assert r["doc_id"] == min(same, default=None)
 
 
+def check_links(spark, prints):
+    signed = np.array(sorted(prints), np.uint64).view(np.int64).tolist()
+    table = spark.createDataFrame([(p,) for p in signed], "fp long")
+    roots = {r["node"]: r["root"] for r in components.connected_components(simhash.link_stars(table)).collect()}
+    mask = (1 << 64) - 1
+    found, want = {}, {}
+    for p in signed:
+        found.setdefault(roots.get(p, p), set()).add(p & mask)
+    for p, root in slow_components(prints).items():
+        want.setdefault(root, set()).add(p)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
+@pytest.fixture(params=[(3, True), (8, True), (211, True), (8, False)], ids=str)
+def shuffled(spark, request):
+    """Shuffle partitions and adaptive execution; both decide where equal keys meet."""
+    settings = dict(zip(("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"), map(str, request.param)))
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
 @pytest.mark.parametrize("bucket", [2048, 4])
-def test_links(spark, monkeypatch, bucket):
+def test_links(spark, monkeypatch, bucket, shuffled):
     """Dense balls of fingerprints; a small bucket size sends them through the second level."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     monkeypatch.setattr(simhash, "_TILE", 7)
@@ -98,16 +123,26 @@ def test_links(spark, monkeypatch, bucket):
         for _ in range(25):
             prints.add(centre ^ sum(1 << b for b in rng.sample(bits, rng.randint(0, 5))))
     prints |= {0, 1, (1 << 64) - 1, 1 << 63, 0b1111, 0b11110000}
-    signed = np.array(sorted(prints), np.uint64).view(np.int64).tolist()
-    table = spark.createDataFrame([(p,) for p in signed], "fp long")
-    roots = {r["node"]: r["root"] for r in components.connected_components(simhash.link_stars(table)).collect()}
-    mask = (1 << 64) - 1
-    found, want = {}, {}
-    for p in signed:
-        found.setdefault(roots.get(p, p), set()).add(p & mask)
-    for p, root in slow_components(prints).items():
-        want.setdefault(root, set()).add(p)
-    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+    check_links(spark, prints)
+
+
+def test_links_beside_a_full_bucket(spark):
+    """More fingerprints share one half than a bucket holds, as shipped; pairs of the other buckets keep their links."""
+    rng = random.Random(1)
+    shared = rng.getrandbits(32)
+    prints = {shared << 32 | rng.getrandbits(32) for _ in range(simhash.BUCKET + 550)}
+    for _ in range(700):
+        centre = rng.getrandbits(64)
+        prints |= {centre, centre ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64)}
+    check_links(spark, prints)
+
+
+def test_exchange_stays(spark):
+    """Sides that are dealt by the key already are dealt again, together."""
+    full = spark.createDataFrame([(1,)], "key long").hint("shuffle_hash")
+    rows = spark.range(100).select(F.col("id").alias("fp"), (F.col("id") % 7).alias("key")).join(full, "key", "left_anti")
+    plan = simhash._placed(rows, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan[: plan.index("Union")]
 
 
 def test_components_of_a_path_and_a_hub(spark):
