@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tabcast.llm import (
-    ann, decontaminate, language_id, license_scan, line_dedup, lm_score, packing, simhash, substring_dedup, token_counts, words,
+    ann, decontaminate, language_id, license_scan, line_dedup, line_quality, lm_score, packing, simhash, substring_dedup, token_counts, words,
 )
 from tabcast.plans.registry import table
 
@@ -164,3 +164,55 @@ def op9(spark, folder):
 def op10(spark, folder):
     return ann.nearest(table(spark, folder, "embeddings"))
 
+
+def _quality_sql() -> str:
+    """The rules of the lines and the document; patterns and phrases are those of the operator."""
+    def quoted(pattern):
+        return "'" + pattern.replace("'", "''") + "'"
+
+    a_word = "'[^\\\x20\\\x09-\\\x0D]+'"
+    symbols = quoted(f"[{line_quality.SYMBOLS}]")
+    chars = "length(regexp_replace({}, '[\\\x20\\\x09-\\\x0D]', '', 'g'))"
+    return f"""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {a_word}) AS ws FROM documents),
+windows AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS win, unnest(range(0, len(ws) - 7)) AS pos
+  FROM cut WHERE len(ws) >= 8),
+twice AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(pos, pos + 8)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM cut),
+told AS (
+  SELECT doc_id, line, i, regexp_extract_all(line, {a_word}) AS own, {chars.format('line')} AS size,
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again,
+    regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]', ' ', 'g') AS plain
+  FROM lines),
+rules AS (
+  SELECT *,
+    10 * len(regexp_extract_all(line, {symbols})) > size OR NOT regexp_matches(line, {quoted(line_quality.SENTENCE_END)}) AS unpunctuated,
+    (len(own) <= {line_quality.SHORT} AND regexp_matches(plain, {quoted(line_quality.phrase_pattern(line_quality.NAVIGATION))}))
+      OR 4 * len(list_filter(own, lambda w: regexp_full_match(w, {quoted(line_quality.SEPARATORS)}))) >= len(own) AS menu,
+    again OR regexp_matches(plain, {quoted(line_quality.phrase_pattern(line_quality.BOILERPLATE))}) AS stock
+  FROM told WHERE len(own) > 0),
+judged AS (SELECT *, unpunctuated OR menu OR stock AS failed FROM rules),
+marked AS (SELECT l.doc_id, l.line, l.i, coalesce(j.failed, false) AS failed, j.* EXCLUDE (doc_id, line, i, failed) FROM lines l LEFT JOIN judged j ON l.doc_id = j.doc_id AND l.i = j.i),
+per_text AS (
+  SELECT doc_id, CAST(count_if(again) AS BIGINT) AS n_dup_lines, CAST(count_if(failed) AS BIGINT) AS n_failed_lines,
+    CAST(coalesce(sum(size) FILTER (failed), 0) AS BIGINT) AS lost_chars,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT failed), '')) AS clean_sha256
+  FROM marked GROUP BY doc_id),
+facts AS (
+  SELECT c.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST({chars.format('text')} AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, {symbols})) AS BIGINT) AS n_symbols, n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+    n_failed_lines, lost_chars, clean_sha256
+  FROM cut c JOIN per_text p ON c.doc_id = p.doc_id LEFT JOIN repeated r ON c.doc_id = r.doc_id)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_chars <= {line_quality.MAX_LOST_PERCENT} * word_chars AS kept
+FROM facts
+"""
+
+
+@_query("op11_quality_rules", _quality_sql())
+def op11(spark, folder):
+    facts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
+    found = line_quality.assess(_documents(spark, folder))
+    return found.select("row.doc_id", *[f"found.{f}" for f in facts], F.sha2("found.clean", 256).alias("clean_sha256"))
