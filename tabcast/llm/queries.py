@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tabcast.llm import (
-    ann, decontaminate, language_id, license_scan, line_dedup, line_quality, lm_score, packing, simhash, substring_dedup, token_counts, words,
+    ann, decontaminate, language_id, license_scan, line_dedup, line_quality, lm_score, packing, simhash, substring_dedup, token_counts,
+    vector_clusters, words,
 )
 from tabcast.plans.registry import table
 
@@ -216,3 +217,41 @@ def op11(spark, folder):
     facts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
     found = line_quality.assess(_documents(spark, folder))
     return found.select("row.doc_id", *[f"found.{f}" for f in facts], F.sha2("found.clean", 256).alias("clean_sha256"))
+
+
+def _clusters_sql() -> str:
+    """Every round compares all vectors with all centroids."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - k.v[i]) * (x.v[i] - k.v[i])))"
+    steps = []
+    for n in range(1, vector_clusters.ROUNDS + 2):
+        steps.append(f"""
+near{n} AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY place ORDER BY d, c) AS best
+    FROM (SELECT x.*, k.c, CAST({gap} AS BIGINT) AS d FROM whole x CROSS JOIN centroids{n - 1} k))
+  WHERE best = 1)""")
+        if n <= vector_clusters.ROUNDS:
+            steps.append(f"""
+centroids{n} AS (
+  SELECT k.c, coalesce(m.v, k.v) AS v FROM centroids{n - 1} k LEFT JOIN (
+    SELECT c, list(mean ORDER BY i) AS v FROM (
+      SELECT c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS mean
+      FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM near{n}) GROUP BY c, i)
+    GROUP BY c) m ON k.c = m.c)""")
+    last = vector_clusters.ROUNDS
+    return f"""
+WITH whole AS (
+  SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64),
+centroids0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM whole ORDER BY h, v LIMIT 16)),
+{','.join(steps)}
+SELECT vec_id, CAST(n.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM near{last + 1} n JOIN centroids{last} k ON n.c = k.c
+"""
+
+
+@_query("op12_centroid_clusters", _clusters_sql())
+def op12(spark, folder):
+    return vector_clusters.cluster(table(spark, folder, "embeddings"))
