@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tabcast.llm import (
-    ann, decontaminate, language_id, license_scan, line_dedup, line_quality, lm_score, packing, simhash, substring_dedup, token_counts,
-    vector_clusters, words,
+    ann, decontaminate, language_id, license_scan, line_dedup, line_quality, lm_score, packing, simhash, spelling, substring_dedup,
+    token_counts, vector_clusters, words,
 )
 from tabcast.plans.registry import table
 
@@ -255,3 +255,46 @@ FROM near{last + 1} n JOIN centroids{last} k ON n.c = k.c
 @_query("op12_centroid_clusters", _clusters_sql())
 def op12(spark, folder):
     return vector_clusters.cluster(table(spark, folder, "embeddings"))
+
+
+SPELLING_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run
+    FROM documents)
+  GROUP BY doc_id, run),
+coded AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS bytes
+  FROM runs),
+hashed AS (
+  SELECT run, n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda h, b:
+    list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384 * (d & 1))))) AS h
+  FROM coded),
+damaged AS (
+  SELECT CASE WHEN h % {spelling.DAMAGE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+vocabulary AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+rests AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocabulary)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM rests a JOIN rests b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT r.word, v.word, v.n FROM rests r JOIN vocabulary v ON r.rest = v.word
+  UNION SELECT v.word, r.word, r.n FROM rests r JOIN vocabulary v ON r.rest = v.word),
+best AS (
+  SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS place FROM pairs),
+formed AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near,
+    CASE WHEN b.n >= {spelling.RATIO} * v.n THEN b.near END AS form, CASE WHEN b.n >= {spelling.RATIO} * v.n THEN b.n END AS form_n
+  FROM vocabulary v LEFT JOIN best b ON v.word = b.word AND b.place = 1),
+chain AS (
+  SELECT word, word AS root, 0 AS steps FROM formed
+  UNION ALL SELECT c.word, f.form, steps + 1 FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) c ON f.word = c.word
+"""
+
+
+@_query("op13_spelling_variants", SPELLING_SQL)
+def op13(spark, folder):
+    return spelling.variants(_documents(spark, folder))

@@ -27,7 +27,6 @@ columns are not returned.
 """
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tabcast.operators.order import BROADCAST_ROWS, checkpoint_folder
+from tabcast.llm import words
+from tabcast.operators.order import BROADCAST_ROWS
 
 CENTROIDS = 16
 DIMS = 64
@@ -50,13 +50,6 @@ _UNDECIDED = -1
 _FAR = np.iinfo(np.int64).max
 
 
-def _stored(rows: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage is cut, columns can be read alone."""
-    path = f"{checkpoint_folder(rows.sparkSession)}/vectors-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str, dims: int, scale: int) -> DataFrame:
     """(id, v): the vectors that take part, as whole numbers."""
     rows = vectors.select(vectors[id_col].alias("id"), vectors[vec_col].cast("array<double>").alias("x"))
@@ -244,19 +237,19 @@ def _round(index: DataFrame, state: DataFrame | None, bounds: Bounds, total: np.
     """Clusters under the centroids of ``bounds``, sums of each, and the number of fetched vectors."""
     count, dims = bounds.centroids.shape
     if state is not None:
-        scanned = _stored(state.select("row", "cells", "cluster").mapInArrow(_scan(bounds), "row long, cells binary, cluster int, among array<int>"))
+        scanned = words.stored(state.select("row", "cells", "cluster").mapInArrow(_scan(bounds), "row long, cells binary, cluster int, among array<int>"))
         # Decided and not moved: nothing to fetch.
         wanted = scanned.where((F.size("among") > 1) | (F.get("among", F.lit(0)) != F.col("cluster"))).select("row", "cluster", "among")
         fetched = wanted.count()
         if fetched <= DIRECT_SHARE * size:
             small = fetched <= BROADCAST_ROWS
             met = index.select("row", "vec").join(F.broadcast(wanted) if small else wanted, "row")
-            found = _stored(met.select("row", "vec", "cluster", "among").mapInArrow(_resolve(bounds), _STATE_SQL))
+            found = words.stored(met.select("row", "vec", "cluster", "among").mapInArrow(_resolve(bounds), _STATE_SQL))
             after = found.where("sums is null").select("row", F.col("cluster").alias("after"))
             joined = scanned.join(F.broadcast(after) if small else after, "row", "left")
             kept = joined.select("row", "cells", F.coalesce("after", "cluster").alias("cluster"))
-            return _stored(kept), total + _gathered(found, count, dims), fetched
-    found = _stored(index.select("row", "cells", "vec").mapInArrow(_direct(bounds), _STATE_SQL))
+            return words.stored(kept), total + _gathered(found, count, dims), fetched
+    found = words.stored(index.select("row", "cells", "vec").mapInArrow(_direct(bounds), _STATE_SQL))
     rows = found.where("sums is null")
     return rows, _gathered(found, count, dims), rows.agg(F.sum("fetched")).first()[0]
 
@@ -287,7 +280,7 @@ def cluster(
 
     arrow_id = to_arrow_type(vectors.schema[id_col].dataType)
     numbered = source.withColumn("row", F.monotonically_increasing_id())
-    index = _stored(numbered.mapInArrow(_encoded(cells, arrow_id), f"row long, id {id_type}, cells binary, vec binary"))
+    index = words.stored(numbered.mapInArrow(_encoded(cells, arrow_id), f"row long, id {id_type}, cells binary, vec binary"))
 
     state, total = None, None
     for _ in range(rounds):
@@ -297,7 +290,7 @@ def cluster(
         filled = total[:, 0] > 0
         centroids = np.where(filled[:, None], total[:, 1:] // np.maximum(total[:, :1], 1), centroids)
 
-    last = _stored(index.select("id", "cells", "vec").mapInArrow(_distances(Bounds(cells, centroids), arrow_id), f"id {id_type}, cluster int, distance long"))
+    last = words.stored(index.select("id", "cells", "vec").mapInArrow(_distances(Bounds(cells, centroids), arrow_id), f"id {id_type}, cluster int, distance long"))
     spread = {r["cluster"]: r["d"] for r in last.groupBy("cluster").agg(F.sum("distance").alias("d")).collect()}
     digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
     rows = [(c, spread[c], sum(spread.values()), digests[c]) for c in sorted(spread)]

@@ -5,6 +5,7 @@ Texts reach the functions here as UTF-8 bytes: ``bytes.translate`` and
 the bytes of a non-ASCII character.
 """
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabcast.operators.order import checkpoint_folder
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # Digits, letters and every byte of a non-ASCII character stay; all else becomes a space.
 FOLDED = bytes(
@@ -104,6 +107,13 @@ def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.xxhash64(ident).alias("_k1"), F.xxhash64(text, ident).alias("_k2"))
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: lineage is cut, and columns can be read alone."""
+    path = f"{checkpoint_folder(rows.sparkSession)}/tabcast-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 _shipped: set[str] = set()
 
 
