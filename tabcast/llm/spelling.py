@@ -59,14 +59,16 @@ SPLITS = 200_000
 DAMAGE = 31
 _HELD = 200_000
 _TILE = 2_048
-_RUN = re.compile("[a-zÀ-ÿ]+")
 
 
 # Words and how often they occur
 
-def runs_of(ident: str, raw: bytes | None, damage: int = DAMAGE) -> Counter:
-    """Occurrences of the runs of a text; runs whose hash ``damage`` divides lose a character."""
-    found = Counter(_RUN.findall((raw or b"").translate(W.LOWER).decode()))
+def runs_of(ident: str, raw: bytes | None, damage: int = DAMAGE, least: int = LEAST_CHARS) -> Counter:
+    """Occurrences of the long runs of a text; runs whose hash ``damage`` divides lose a character.
+
+    Shorter runs can only become shorter, so they are not even matched.
+    """
+    found = Counter(re.findall(f"[a-zÀ-ÿ]{{{least},}}", (raw or b"").translate(W.LOWER).decode()))
     if not damage:
         return found
     made: Counter = Counter()
@@ -91,7 +93,7 @@ def _counted(least: int, damage: int):
         for rows in batches:
             idents = rows.column("id").to_pylist()
             for ident, raw in zip(idents, W.raw_texts(rows.column("text"))):
-                for word, n in runs_of(ident or "", raw, damage).items():
+                for word, n in runs_of(ident or "", raw, damage, least).items():
                     if len(word) >= least:
                         held[word] += n
                 if len(held) > _HELD:
@@ -147,24 +149,19 @@ class Dictionary:
 
     def affected(self, word: str, grams: list[tuple[int, str]]) -> int:
         """The most grams that one edit may affect, whatever its place and kind."""
-        worst, spans = 0, [(p, p + len(g)) for p, g in grams]
-        starts = [p for p, _ in grams]
+        worst, starts, ends = 0, [p for p, _ in grams], [p + len(g) for p, g in grams]
         for i in range(len(word) + 1):
-            beside = spans[bisect_left(starts, i - self.longest) : bisect_right(starts, i + 1 + self.longest)]
-            # From here on, a gram could grow over place i.
+            # From here on, a gram could grow over place i. Starts and ends both ascend.
             grows = next((p for p in range(max(0, i - self.longest + 1), i) if word[p:i] in self.opens), i)
-            for gone in (0, 1):  # before place i is inserted; the character at i is deleted or replaced
-                behind = i + gone
-                if behind > len(word):
-                    continue
-                n = 0
-                for p, end in beside:
-                    if end <= i:
-                        n += p >= grows
-                    elif p >= behind:
-                        n += word[behind:end] in self.inner
-                    else:
-                        n += 1
+            safe = min(bisect_right(ends, i), bisect_left(starts, grows))
+            # Before place i is inserted, or the character at i is deleted or replaced.
+            for behind in (i, i + 1):
+                first = bisect_left(starts, behind)
+                n = first - safe
+                for end in ends[first : first + self.longest]:
+                    if end - behind >= self.longest:
+                        break
+                    n += word[behind:end] in self.inner
                 worst = max(worst, n)
         return worst
 
