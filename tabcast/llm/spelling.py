@@ -173,12 +173,14 @@ class Dictionary:
         return grams[: len(grams) - max(bound, 1) + 1], bound
 
 
-def signature(word: str) -> int:
-    """64 bits, each the parity of the characters that fall on it."""
-    bits = 0
-    for c in word:
-        bits ^= 1 << (ord(c) & 63)
-    return bits
+def signatures(names: pa.Array) -> np.ndarray:
+    """64 bits a word, each the parity of the characters that fall on it; one edit changes at most two."""
+    raw = names.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
+    letters = np.frombuffer(raw.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0])
+    # Characters have one byte, or two of which the second tells more.
+    bits = np.where(letters < 0xC0, np.uint64(1) << (letters & 63).astype(np.uint64), np.uint64(0))
+    return np.bitwise_xor.reduceat(bits, ends[:-1] - ends[0])
 
 
 def build_dictionary(vocabulary: DataFrame) -> Dictionary:
@@ -198,20 +200,21 @@ def build_dictionary(vocabulary: DataFrame) -> Dictionary:
 
 # Lists and their merge
 
-_ENTRY = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("same", pa.bool_()), ("word", pa.string()), ("n", pa.int64()), ("sig", pa.int64())])
-_ENTRY_SQL = "key long, side int, same boolean, word string, n long, sig long"
+# Sides of a list: words of one length, or a shorter word that looks for longer ones.
+SAME, SHORTER, LONGER = 0, 1, 2
+_ENTRY = pa.schema([("key", pa.int64()), ("side", pa.int8()), ("word", pa.string()), ("n", pa.int64())])
+_ENTRY_SQL = "key long, side byte, word string, n long"
 
 
 def _key(*parts) -> int:
     return xxhash.xxh64_intdigest("\0".join(map(str, parts))) - (1 << 63)
 
 
-def entries_of(word: str, dictionary: Dictionary, plain: Dictionary) -> list[tuple[int, int, bool]]:
-    """(key, side, same) of the lists of a word.
+def entries_of(word: str, dictionary: Dictionary, plain: Dictionary) -> list[tuple[int, int]]:
+    """(key, side) of the lists of a word.
 
-    Lists of words of the same length have one side; in the others the
-    shorter word (side 0) looks for the longer (side 1), whose gram stands at
-    the same place or one further.
+    A shorter word looks for longer ones whose gram stands at the same place
+    or one further.
     """
     size, found = len(word), []
     grams, bound = dictionary.listed(word)
@@ -220,9 +223,9 @@ def entries_of(word: str, dictionary: Dictionary, plain: Dictionary) -> list[tup
         kinds.append(("s", plain.listed(word)[0]))
     for kind, listed in kinds:
         for p, g in listed:
-            found.append((_key(kind, "=", size, p, g), 0, True))
-            found.append((_key(kind, "+", size, p, g), 1, False))
-            found += [(_key(kind, "+", size + 1, p + k, g), 0, False) for k in (0, 1)]
+            found.append((_key(kind, "=", size, p, g), SAME))
+            found.append((_key(kind, "+", size, p, g), LONGER))
+            found += [(_key(kind, "+", size + 1, p + k, g), SHORTER) for k in (0, 1)]
     return found
 
 
@@ -234,8 +237,7 @@ def _entries(dictionary: Dictionary):
             for at in range(0, len(batch), 2_000):
                 part, out = batch.slice(at, 2_000), []
                 for word, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist()):
-                    sig = signature(word) - (1 << 63)
-                    out += [(*e, word, n, sig) for e in entries_of(word, dictionary, plain)]
+                    out += [(*e, word, n) for e in entries_of(word, dictionary, plain)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ENTRY)], schema=_ENTRY)
 
     return listed
@@ -254,13 +256,13 @@ def _dealt(entries: DataFrame) -> DataFrame:
 
     places = F.sequence(F.lit(0), size - 1)
     rests = (
-        F.when(F.col("same"), F.transform(places, lambda i: F.xxhash64("key", i, without(i))))
-        .when(F.col("side") == 1, F.array_distinct(F.transform(places, lambda i: F.xxhash64("key", without(i)))))
+        F.when(F.col("side") == SAME, F.transform(places, lambda i: F.xxhash64("key", i, without(i))))
+        .when(F.col("side") == LONGER, F.array_distinct(F.transform(places, lambda i: F.xxhash64("key", without(i)))))
         .otherwise(F.array(F.xxhash64("key", "word")))
     )
     marked = entries.join(F.broadcast(long_lists), "key", "left")
     keys = F.when(F.col("long"), rests).otherwise(F.array("key"))
-    return marked.select(F.explode(keys).alias("key"), "side", "same", "word", "n", "sig")
+    return marked.select(F.explode(keys).alias("key"), "side", "word", "n")
 
 
 def _letters(words: list[str]) -> np.ndarray:
@@ -279,13 +281,15 @@ def near(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
     return front + back >= size
 
 
-_PAIR = pa.schema([("word", pa.string()), ("near", pa.string()), ("near_n", pa.int64())])
+_PAIR = pa.schema([("a", pa.string()), ("b", pa.string()), ("a_n", pa.int64()), ("b_n", pa.int64())])
+_PAIR_SQL = "a string, b string, a_n long, b_n long"
 
 
-def _merged_list(names: np.ndarray, counts: np.ndarray, sigs: np.ndarray, sides: np.ndarray, same: bool) -> list[tuple]:
-    """Verified pairs of one list, in both directions."""
-    first = np.flatnonzero(sides == 0)
-    second = first if same else np.flatnonzero(sides == 1)
+def _merged_list(names: np.ndarray, counts: np.ndarray, sigs: np.ndarray, sides: np.ndarray) -> list[tuple]:
+    """Verified pairs of one list, the shorter or smaller word first."""
+    same = sides[0] == SAME
+    first = np.arange(len(names)) if same else np.flatnonzero(sides == SHORTER)
+    second = first if same else np.flatnonzero(sides == LONGER)
     if not len(second) or not len(first):
         return []
     shapes = {}
@@ -308,8 +312,9 @@ def _merged_list(names: np.ndarray, counts: np.ndarray, sigs: np.ndarray, sides:
                 p, q = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
                 hit = near(left[p], right[q], left.shape[1])
                 u, v = a[p[hit]], b[q[hit]]
-                out.append((names[u], names[v], counts[v]))
-                out.append((names[v], names[u], counts[u]))
+                if same:
+                    u, v = np.where(names[u] < names[v], (u, v), (v, u))
+                out.append((names[u], names[v], counts[u], counts[v]))
     return out
 
 
@@ -320,14 +325,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs(tables: list[pa.RecordBatch]) -> list[tuple]:
         rows = pa.Table.from_batches(tables)
         keys = rows.column("key").to_numpy()
-        names = rows.column("word").to_numpy(zero_copy_only=False)
-        counts, sigs = rows.column("n").to_numpy(), rows.column("sig").to_numpy().view(np.uint64)
-        sides, same = rows.column("side").to_numpy(), rows.column("same").to_numpy()
+        names = rows.column("word").to_numpy()
+        counts, sides = rows.column("n").to_numpy(), rows.column("side").to_numpy()
+        sigs = signatures(rows.column("word").combine_chunks())
         starts = W.starts_of_runs(keys)
         out = []
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
             if e - s > 1:
-                out += _merged_list(names[s:e], counts[s:e], sigs[s:e], sides[s:e], bool(same[s]))
+                out += _merged_list(names[s:e], counts[s:e], sigs[s:e], sides[s:e])
         return out
 
     def batch_of(found: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -355,8 +360,13 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     dictionary = build_dictionary(vocabulary)
     entries = W.stored(vocabulary.select("word", "n").mapInArrow(_entries(dictionary), _ENTRY_SQL))
     placed = _dealt(entries).repartition("key").sortWithinPartitions("key")
-    found = placed.mapInArrow(_merge, "word string, near string, near_n long")
-    return found.groupBy("word", "near").agg(F.first("near_n").alias("near_n"))
+    # A pair may have met in several lists.
+    met = placed.mapInArrow(_merge, _PAIR_SQL).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+    both = F.array(
+        F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")),
+        F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")),
+    )
+    return met.select(F.inline(both))
 
 
 # Forms and roots

@@ -125,12 +125,24 @@ def test_near_words_meet_in_a_list():
                 continue
             a, b = sorted((word, other), key=len)
             left, right = (spelling.entries_of(w, dictionary, plain) for w in (a, b))
-            same = len(a) == len(b)
-            assert {k for k, side, alike in left if alike == same and side == 0} & {k for k, side, alike in right if alike == same and side == (0 if same else 1)}
+            sides = (spelling.SAME, spelling.SAME) if len(a) == len(b) else (spelling.SHORTER, spelling.LONGER)
+            assert {k for k, side in left if side == sides[0]} & {k for k, side in right if side == sides[1]}
             met += 1
     assert met > 5000
 
 
+def test_signatures():
+    """One edit changes at most two bits, also of a part of a column."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    names = ["".join(rng.choice("abzÀéÿ÷") for _ in range(rng.randint(7, 30))) for _ in range(400)]
+    a, b = (spelling.signatures(pa.array(["begin", *x]).slice(1)) for x in (names, [edits(rng, w, "abzÀéÿ÷") for w in names]))
+    assert np.bitwise_count(a ^ b).max() == 2
+    assert a[3] == spelling.signatures(pa.array([names[3]]))[0]
+
+
 def test_long_words():
     """Work on a word grows with its length, not its square."""
     rng = random.Random(5)
