@@ -149,20 +149,20 @@ class Dictionary:
 
     def affected(self, word: str, grams: list[tuple[int, str]]) -> int:
         """The most grams that one edit may affect, whatever its place and kind."""
+        if not self.kept:
+            return min(len(grams), self.shortest)
         worst, starts, ends = 0, [p for p, _ in grams], [p + len(g) for p, g in grams]
+        # The character at i is deleted or replaced; one inserted before it affects no more.
         for i in range(len(word) + 1):
             # From here on, a gram could grow over place i. Starts and ends both ascend.
             grows = next((p for p in range(max(0, i - self.longest + 1), i) if word[p:i] in self.opens), i)
-            safe = min(bisect_right(ends, i), bisect_left(starts, grows))
-            # Before place i is inserted, or the character at i is deleted or replaced.
-            for behind in (i, i + 1):
-                first = bisect_left(starts, behind)
-                n = first - safe
-                for end in ends[first : first + self.longest]:
-                    if end - behind >= self.longest:
-                        break
-                    n += word[behind:end] in self.inner
-                worst = max(worst, n)
+            first = bisect_left(starts, i + 1)
+            n = first - min(bisect_right(ends, i), bisect_left(starts, grows))
+            for end in ends[first : first + self.longest]:
+                if end - i > self.longest:
+                    break
+                n += word[i + 1 : end] in self.inner
+            worst = max(worst, n)
         return worst
 
     def listed(self, word: str) -> tuple[list[tuple[int, str]], int]:
@@ -206,8 +206,8 @@ _ENTRY = pa.schema([("key", pa.int64()), ("side", pa.int8()), ("word", pa.string
 _ENTRY_SQL = "key long, side byte, word string, n long"
 
 
-def _key(*parts) -> int:
-    return xxhash.xxh64_intdigest("\0".join(map(str, parts))) - (1 << 63)
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
 def entries_of(word: str, dictionary: Dictionary, plain: Dictionary) -> list[tuple[int, int]]:
@@ -223,9 +223,10 @@ def entries_of(word: str, dictionary: Dictionary, plain: Dictionary) -> list[tup
         kinds.append(("s", plain.listed(word)[0]))
     for kind, listed in kinds:
         for p, g in listed:
-            found.append((_key(kind, "=", size, p, g), SAME))
-            found.append((_key(kind, "+", size, p, g), LONGER))
-            found += [(_key(kind, "+", size + 1, p + k, g), SHORTER) for k in (0, 1)]
+            found.append((_key(f"{kind}={size} {p} {g}"), SAME))
+            found.append((_key(f"{kind}+{size} {p} {g}"), LONGER))
+            found.append((_key(f"{kind}+{size + 1} {p} {g}"), SHORTER))
+            found.append((_key(f"{kind}+{size + 1} {p + 1} {g}"), SHORTER))
     return found
 
 
