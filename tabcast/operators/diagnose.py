@@ -32,8 +32,8 @@ def lower_half(df: DataFrame, value: str, key: str) -> Column:
     if half == 0:
         return F.lit(False)
     value_type, key_type = df.schema[value].dataType, df.schema[key].dataType
-    edge = order.typed_literal(order.values_at(df, value, [half - 1])[0], value_type)
-    under = df.where(F.col(value) < edge).count()
+    [(found, under)] = order.select_ranks(df, {value: [half - 1]})[value]
+    edge = order.typed_literal(found, value_type)
     ties = df.where(F.col(value) == edge)
     last = order.typed_literal(order.values_at(ties, key, [half - under - 1])[0], key_type)
     return (F.col(value) < edge) | ((F.col(value) == edge) & (F.col(key) <= last))

@@ -97,3 +97,78 @@ def test_spearman_with_ties_and_nulls(spark, small):
     want = frame["a"].rank().corr(frame["b"].rank())
     got = assoc.spearman_pair(spark.createDataFrame(rows, "a double, b double"), "a", "b", small).first()
     assert got["n"] == len(frame) and abs(got["rho"] - want) < 1e-9
+
+
+def jobs_of(spark, name, run):
+    """The value of ``run`` and the number of Spark jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        value = run()
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    return value, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Columns of many types with nulls, ties, a hot value and extremes."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(5000):
+        x = None if i % 7 == 0 else 2.5 if i % 3 == 0 else rng.gauss(0, 1) * 10 ** (i % 5)
+        rows.append((i, x, rng.randint(0, 9), rng.choice([-(2**62), 2**62 - 3, 2**62 - 2, 5, None]), f"{rng.randint(1, 10**6)}.{rng.randint(0, 99):02d}", rng.randint(0, 4000), None))
+    df = spark.createDataFrame(rows, "id long, x double, few int, `far out` long, money string, day int, gone double")
+    return df.selectExpr(
+        "id", "x", "few", "`far out`", "cast(money as decimal(12,2)) as money", "date_add(date'2000-01-01', day) as day",
+        "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, 0, 0, day) as at", "gone",
+    ).repartition(6).cache()
+
+
+@pytest.mark.parametrize("small", [1, 40, 700, 1_000_000])
+def test_select_ranks_of_many_columns(mixed, small):
+    rows = mixed.collect()
+    wanted, want = {}, {}
+    for c in mixed.columns[:-1]:
+        ordered = sorted(r[c] for r in rows if r[c] is not None)
+        places = sorted({0, 1, len(ordered) // 4, len(ordered) // 2, len(ordered) // 2 + 1, len(ordered) - 1})
+        wanted[c] = places
+        want[c] = [(ordered[p], sum(v < ordered[p] for v in ordered)) for p in places]
+    assert order.select_ranks(mixed, wanted, small) == want
+    with pytest.raises(IndexError):
+        order.select_ranks(mixed, {"gone": [0]}, small)
+    assert order.select_ranks(mixed, {}, small) == {}
+
+
+@pytest.mark.parametrize("small", [40, 1_000_000])
+def test_jobs_do_not_grow_with_columns_or_ranks(spark, mixed, small):
+    """Four scans at most: sizes, sketch, counts and gathering. Each shuffle is a job of its own, and gathering has two."""
+    one, few = jobs_of(spark, f"one-{small}", lambda: order.select_ranks(mixed, {"x": [2000]}, small))
+    all_, many = jobs_of(spark, f"all-{small}", lambda: order.select_ranks(mixed, {c: list(range(100, 3900, 400)) for c in ("x", "id", "money", "day")}, small))
+    assert few <= 9 and many <= 9 and len(one) == 1 and len(all_) == 4
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 0.975, 1.0])
+def test_quantiles_equal_percentile(mixed, share):
+    """The seeking path against the built-in aggregate, for several columns at once."""
+    columns = ["x", "few", "far out", "money", "gone"]
+    got = order.quantiles(mixed, columns, [share], 50)
+    row = mixed.selectExpr(*[f"percentile(`{c}`, {share}) as `{c}`" for c in columns]).first()
+    for c in columns:
+        value = mixed.selectExpr(f"max({got[c][0]})").first()[0]
+        assert value == row[c] if value is None else abs(value - row[c]) <= 1e-9 * abs(row[c])
+
+
+def test_queries_do_not_depend_on_the_path(spark, monkeypatch):
+    """Profiles, boxes, folds, halves and reports are the same when every column is too long for one task."""
+    from tabcast.plans.registry import QUERIES
+    from tabcast.plans import catalog  # noqa: F401  (it registers)
+
+    folder = "/root/testdata/sf0.001"
+    names = ["profile_numeric", "describe", "boxplot", "residual_report", "scatter_report", "feature_frame"]
+    def rounded(name):
+        return sorted(tuple(float(f"{v:.9g}") if isinstance(v, float) else str(v) for v in r) for r in QUERIES[name](spark, folder).collect())
+    before = {n: rounded(n) for n in names if n in QUERIES}
+    for function in (order.quantiles, order.values_at, order.select_ranks):
+        defaults = tuple(100 if d == order.SMALL_GROUP else d for d in function.__defaults__)
+        monkeypatch.setattr(function, "__defaults__", defaults)
+    assert len(before) >= 5 and {n: rounded(n) for n in before} == before
