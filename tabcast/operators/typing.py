@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from tabcast.functions import sql
 from tabcast.functions import values as V
 from tabcast.functions import words
-from tabcast.operators.profile import count_distinct, distinct_of
+from tabcast.operators.profile import count_distinct, distinct_of, sketch_interval, sketched_distinct
 
 # Aggregated columns per scan; a wider table takes several scans.
 COLUMNS_PER_PASS = 50
@@ -87,6 +87,50 @@ TYPE_OF_RULE = """case
   when rule = 15 then 'continuous' end"""
 
 
+def _limits(facts) -> list[float]:
+    """Numbers of different values at which a column's rule may change: beyond each, or at it."""
+    kind, n = facts["kind"], facts["n"]
+    unique = [0.9 * n] if facts["id_name"] else []
+    if kind == "text":
+        return [*unique, 20, 0.05 * n]
+    return [1, 2, *unique, 15] if kind == "int" else [1, 2] if kind == "float" else []
+
+
+def _in_doubt(facts) -> bool:
+    """Whether counts that the sketch allows lie on both sides of a limit."""
+    low, high = sketch_interval(facts["estimate"])
+    return low < high and any(low <= limit + 1 and high >= limit - 1 for limit in _limits(facts))
+
+
+def decide_types(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """One row per column: column, type, n, rule, and whether its different values were counted.
+
+    Types and rules are those of ``detect_types``, from one scan: a sketch
+    tells on which side of the rules' limits a column lies. Only columns for
+    which it does not are counted exactly. Nothing is shuffled for the others.
+    """
+    spark, fields, found = df.sparkSession, typed_fields(df), []
+    for start in range(0, len(fields), COLUMNS_PER_PASS):
+        batch = fields[start:start + COLUMNS_PER_PASS]
+        facts = [_evidence(f, (names or {}).get(f.name, f.name)) for f in batch]
+        estimates = [sketched_distinct(_compared(f)) for f in batch]
+        row = df.agg(F.expr(f"array({', '.join(facts)})"), F.expr(f"array({', '.join(estimates)})")).first()
+        found += [{**facts.asDict(), "estimate": estimate} for facts, estimate in zip(*row)]
+    doubtful = {r["column"] for r in found if _in_doubt(r)}
+    counts = count_distinct(df, {f.name: _compared(f) for f in fields if f.name in doubtful})
+    counted = {r["column"]: r["n_unique"] for r in counts.collect()} if doubtful else {}
+    rows = [(*(r[k] for k in _FACTS), counted.get(r["column"], r["estimate"]), r["column"] in counted) for r in found]
+    schema = ", ".join(f"{k} {t}" for k, t in _FACTS.items()) + ", n_unique bigint, counted boolean"
+    decided = spark.createDataFrame(rows, schema).withColumn("rule", F.expr(RULE))
+    return decided.withColumn("type", F.expr(TYPE_OF_RULE)).select("column", "type", "n", "rule", "counted")
+
+
+_FACTS = {
+    "column": "string", "kind": "string", "id_name": "boolean", "n": "bigint", "parses": "boolean",
+    "binary_words": "boolean", "ordinal_word": "boolean", "years": "boolean",
+}
+
+
 def detect_types(df: DataFrame, names: dict[str, str] | None = None, exact: bool = True) -> DataFrame:
     """One row per column: column, type, n, n_unique, rule.
 

@@ -13,7 +13,7 @@ __all__ = ["QUERIES", "SQL", "flagship"]
 def flagship(spark, folder):
     """Types, then banded correlations of the numeric columns, strongest first."""
     lineitem = table(spark, folder, "lineitem")
-    types = typing.type_map(typing.detect_types(lineitem))
+    types = typing.type_map(typing.decide_types(lineitem))
     numbers = columns_of_type(types, "continuous", "integer", "ordinal")
     pairs = assoc.pearson_pairs(lineitem, numbers)
     return pairs.orderBy(F.desc(F.abs("r")), "c1", "c2")

@@ -97,7 +97,7 @@ ORDER_FEATURES = [
   SELECT o_orderkey, {", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS z_{c}" for c in ORDER_FEATURES)} FROM encoded, stats""")
 def feature_frame(spark, d):
     orders = table(spark, d, "orders")
-    prep = Preprocessor(typing.type_map(typing.detect_types(orders)), key="o_orderkey").fit(orders, "o_totalprice")
+    prep = Preprocessor(typing.type_map(typing.decide_types(orders)), key="o_orderkey").fit(orders, "o_totalprice")
     return rounded(prep.transform(orders, ("o_orderkey",)), 6, *prep.outputs)
 
 
@@ -258,7 +258,7 @@ def ols_tiers(spark, d):
 
 def order_vectors(spark, d):
     orders = table(spark, d, "orders")
-    prep = Preprocessor(typing.type_map(typing.detect_types(orders)), key="o_orderkey").fit(orders, "o_totalprice")
+    prep = Preprocessor(typing.type_map(typing.decide_types(orders)), key="o_orderkey").fit(orders, "o_totalprice")
     return trees.assemble(prep.transform(orders, ("o_orderkey", "o_totalprice")), prep.outputs), prep.outputs
 
 

@@ -1,5 +1,8 @@
 """Queries over sources, typing, profiles, association and distribution shapes."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabcast.functions import values as V
@@ -73,14 +76,14 @@ def shape_of(spark, d):
 @query("select_by_type", "SELECT p_partkey, p_size, p_retailprice FROM part")
 def select_by_type(spark, d):
     part = table(spark, d, "part")
-    return tables.select_by_type(part, typing.type_map(typing.detect_types(part)), "continuous", "integer")
+    return tables.select_by_type(part, typing.type_map(typing.decide_types(part)), "continuous", "integer")
 
 
 @query("default_target", """SELECT 'l_tax' AS target, 'l_orderkey' AS study_x, 'l_partkey' AS study_y, CAST(7 AS INTEGER) AS n_features
   FROM lineitem LIMIT 1""")
 def default_target(spark, d):
     lineitem = table(spark, d, "lineitem")
-    target = tables.default_target(typing.type_map(typing.detect_types(lineitem)))
+    target = tables.default_target(typing.type_map(typing.decide_types(lineitem)))
     study = tables.default_study(lineitem)
     return spark.createDataFrame(
         [(target, study["x"], study["y"], len(study["features"]))],
@@ -183,6 +186,19 @@ def detect_types(spark, d):
     return result
 
 
+@query("decide_types", "\nUNION ALL\n".join(
+    f"""SELECT '{name}' AS table_name, "column", "type", n, rule FROM ({types_sql(name, kinds)})"""
+    for name, kinds in TYPED_TABLES.items()
+))
+def decide_types(spark, d):
+    """The same types, from sketches and as few exact counts as the rules need."""
+    parts = [
+        typing.decide_types(table(spark, d, name)).select(F.lit(name).alias("table_name"), "column", "type", "n", "rule")
+        for name in TYPED_TABLES
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query("type_counts", f"""SELECT "type", count(*) AS n_columns FROM ({types_sql('lineitem', TYPED_TABLES['lineitem'])}) GROUP BY "type" """)
 def type_counts(spark, d):
     return typing.type_counts(typing.detect_types(table(spark, d, "lineitem")))

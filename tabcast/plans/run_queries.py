@@ -19,7 +19,7 @@ def stored_dataset(spark, d):
     """The profile of the orders, saved as one dataset row and read back."""
     orders = table(spark, d, "orders")
     store = runs.RunStore(spark, tables.work_folder(spark))
-    types = typing.type_map(typing.detect_types(orders))
+    types = typing.type_map(typing.decide_types(orders))
     dataset_id = store.save_dataset(
         "owner-1", "orders", orders.count(), types, profile.profile_numeric(orders, ORDER_NUMBERS),
         profile.profile_categorical(orders, ORDER_OTHERS), assoc.raw_pairs(orders, ORDER_NUMBERS))

@@ -32,7 +32,7 @@ class Profile:
 def profile_dataset(df: DataFrame, store: runs.RunStore | None = None, owner: str = "", filename: str = "", exact: bool = True) -> Profile:
     """Types, column statistics and correlations; saved as one dataset when a store is given."""
     df = values.nan_to_null(df)
-    types = typing.type_map(typing.detect_types(df, exact=exact))
+    types = typing.type_map(typing.decide_types(df))
     numbers = tables.numeric_columns(df)
     others = [f.name for f in typing.typed_fields(df) if f.name not in numbers]
     found = Profile(
@@ -113,7 +113,7 @@ def train(
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm must be one of {ALGORITHMS}")
     df = values.nan_to_null(df)
-    types = types or typing.type_map(typing.detect_types(df))
+    types = types or typing.type_map(typing.decide_types(df))
     total = df.count()
     rows = evaluate.split(as_target(df, target).where(F.col(target).isNotNull()), key, test, seed)
     prep = Preprocessor(types, key, label_order)
