@@ -1,16 +1,14 @@
 """Forests and boosting by Spark ML, their importances, folds and tree intervals."""
 
-import json
-import re
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabcast.operators import evaluate
+from tabcast.operators import evaluate, node_table
 
 TREES = 120
 SEED = 42
@@ -51,15 +49,32 @@ def fit(estimator, rows: DataFrame):
         kept.unpersist()
 
 
-def cross_validate(df: DataFrame, target: str, fold: str, estimator) -> DataFrame:
-    """(fold, n, r2) with one fit per fold; ``df`` already has ``features``."""
-    result = None
-    for held in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        model = fit(estimator, df.where(F.col(fold) != held))
-        scored = model.transform(df.where(F.col(fold) == held))
-        part = evaluate.metrics(scored, target, "pred").select(F.lit(held).alias("fold"), "n", "r2")
-        result = part if result is None else result.unionByName(part)
-    return result
+def cross_validate(df: DataFrame, target: str, fold: str, estimator, parallel: int = 4) -> DataFrame:
+    """(fold, n, r2) with one fit per fold; ``df`` already has ``features``.
+
+    The matrix is computed once and kept; up to ``parallel`` folds are fitted
+    and scored side by side, and share the cluster.
+    """
+    kept = df.select(fold, estimator.getFeaturesCol(), target)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if kept.rdd.getNumPartitions() < cores:
+        kept = kept.repartition(cores)
+    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+
+    @inheritable_thread_target(df.sparkSession)
+    def score(held) -> tuple:
+        model = estimator.fit(kept.where(F.col(fold) != held))
+        found = evaluate.metrics(model.transform(kept.where(F.col(fold) == held)), target, "pred").first()
+        return held, found["n"], found["r2"]
+
+    try:
+        folds = sorted(r[0] for r in kept.select(fold).distinct().collect())
+        with ThreadPoolExecutor(parallel) as pool:
+            rows = list(pool.map(score, folds))
+    finally:
+        kept.unpersist()
+    kind = df.schema[fold].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"fold {kind}, n bigint, r2 double")
 
 
 def importances(spark, features: list[str], weights) -> DataFrame:
@@ -74,25 +89,9 @@ def top_importance(found: DataFrame, k: int = 12) -> DataFrame:
     return best.withColumn("above_mean", F.col("importance") > F.avg("importance").over(Window.partitionBy()))
 
 
-def leaf_values(model) -> list[list[float]]:
-    """Prediction of every leaf of every tree, in leaf order."""
-    trees = re.split(r"\n\s*Tree \d+ \(weight [^)]*\):\n", model.toDebugString)[1:]
-    return [[float(v) for v in re.findall(r"Predict: (\S+)", tree)] for tree in trees]
-
-
 def tree_predictions(model, df: DataFrame) -> DataFrame:
-    """Add ``pred`` and ``by_tree``, the array of single-tree predictions.
-
-    One pass gives the leaf each tree puts a row in; its value is read from a
-    table as large as the model.
-    """
-    leaves = model.copy().setLeafCol("_leaves").transform(df)
-    table = F.from_json(F.lit(json.dumps(leaf_values(model))), "array<array<double>>")
-    by_tree = F.transform(
-        vector_to_array("_leaves"),
-        lambda leaf, tree: F.get(F.get(table, tree), leaf.cast("int")),
-    )
-    return leaves.withColumn("by_tree", by_tree).drop("_leaves")
+    """Add ``pred`` and ``by_tree``, the array of single-tree predictions read from the model's node table."""
+    return node_table.score_by_tree(node_table.nodes_of(df.sparkSession, model), model.transform(df))
 
 
 def array_quantile(ordered: Column, share: float, size: int) -> Column:

@@ -6,7 +6,8 @@ items as predictions.
 
 from pyspark.sql import functions as F
 
-from tabcast.operators import assoc, linear, profile, scenario, typing
+from tabcast.operators import assoc, evaluate, linear, profile, scenario, typing
+from tabcast.plans import workflow
 from tabcast.plans.profile_queries import TYPED_TABLES, top3_sql, types_sql
 from tabcast.plans.registry import query, table
 from tabcast.sources import runs, tables
@@ -150,3 +151,27 @@ def target_summary(spark, d):
 @query("auto_choice", f"SELECT recommended, count(*) AS n_targets FROM ({SUMMARY}) GROUP BY 1")
 def auto_choice(spark, d):
     return runs.target_summary(as_analyses(spark, d)).groupBy("recommended").agg(F.count(F.lit(1)).alias("n_targets"))
+
+
+@query("saved_analysis", """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b,
+    round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem)
+  SELECT l_orderkey, l_linenumber, 'linear' AS model_type, 'l_quantity' AS feature, r2, round(a * l_quantity + b, 4) AS pred FROM lineitem, m""")
+def saved_analysis(spark, d):
+    """A model trained and saved as an analysis, found by its id in a fresh store, and used again."""
+    lineitem = table(spark, d, "lineitem")
+    root = tables.work_folder(spark)
+    fitted = linear.fit_linear(lineitem, ["l_quantity"], "l_extendedprice")
+    scores = evaluate.metrics(lineitem.withColumn("pred", fitted.predict()), "l_extendedprice", "pred").first()
+    store = runs.RunStore(spark, root)
+    path, params = workflow.save_model(store, fitted)
+    analysis_id = store.save_analysis(
+        "owner-1", model_type="linear", target_col="l_extendedprice", feature_cols=["l_quantity"], r2=scores["r2"],
+        model_params=params, model_path=path)
+    again = runs.RunStore(spark, root)
+    scored = workflow.predict_saved(again, analysis_id, lineitem, ["l_quantity"])
+    saved = again.analyses().where(F.col("analysis_id") == analysis_id)
+    facts = saved.select("model_type", F.get("feature_cols", F.lit(0)).alias("feature"), F.round("r2", 6).alias("r2"))
+    # One row: the analysis.
+    row = facts.first()
+    return scored.select(
+        "l_orderkey", "l_linenumber", *[F.lit(row[c]).alias(c) for c in facts.columns], F.round("pred", 4).alias("pred"))

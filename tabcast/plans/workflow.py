@@ -3,7 +3,9 @@
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,14 +158,7 @@ def train(
 
 
 def _save(result: Trained, store: runs.RunStore, owner: str, dataset_id: str | None, filename: str, test: float, folds: int) -> str:
-    path = None
-    if result.algorithm in ("forest", "boosting"):
-        path = store.model_path()
-        result.model.write().save(path)
-        params = {}
-    else:
-        params = {f"coef_{f}": repr(float(w)) for f, w in zip(result.model.features, result.model.coef)}
-        params["intercept"] = repr(float(result.model.intercept))
+    path, params = save_model(store, result.model)
     found = {name: _finite(result.metrics[name]) for name in ("r2", "mse", "mae", "rmse")}
     return store.save_analysis(
         owner, dataset_id=dataset_id, filename=filename, model_type=result.algorithm, target_col=result.target,
@@ -174,6 +169,37 @@ def _save(result: Trained, store: runs.RunStore, owner: str, dataset_id: str | N
     )
 
 
+def save_model(store: runs.RunStore, model) -> tuple[str | None, dict[str, str]]:
+    """Where a tree model was written, or the numbers of a linear one."""
+    if isinstance(model, linear.LinearFit):
+        params = {f"coef_{f}": repr(float(w)) for f, w in zip(model.features, model.coef)}
+        return None, params | {"intercept": repr(float(model.intercept))}
+    path = store.model_path()
+    model.write().save(path)
+    return path, {}
+
+
+def load_model(store: runs.RunStore, analysis_id: str):
+    """The model of a saved analysis, read back from its row: a ``LinearFit``, or a tree model from its stored path."""
+    row = store.analysis(analysis_id)
+    if row["model_type"] in ("linear", "ridge"):
+        weights = {k.removeprefix("coef_"): float(v) for k, v in row["model_params"].items() if k.startswith("coef_")}
+        names = sorted(weights)
+        return linear.LinearFit(names, np.array([weights[n] for n in names]), float(row["model_params"]["intercept"]), None)
+    reader = {"forest": RandomForestRegressionModel, "boosting": GBTRegressionModel}[row["model_type"]]
+    return reader.load(row["model_path"])
+
+
+def predict_saved(store: runs.RunStore, analysis_id: str, prepared: DataFrame, features: list[str]) -> DataFrame:
+    """Add ``pred`` by a saved analysis to rows whose feature columns are prepared; order them as at training."""
+    model = load_model(store, analysis_id)
+    if isinstance(model, linear.LinearFit):
+        if set(model.features) != set(features):
+            raise ValueError(f"the model has features {model.features}")
+        return prepared.withColumn("pred", model.predict())
+    return model.transform(trees.assemble(prepared, features)).drop("features")
+
+
 def _finite(value: float | None) -> float | None:
     return None if value is None or not math.isfinite(value) else float(value)
 

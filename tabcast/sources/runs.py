@@ -113,6 +113,13 @@ class RunStore:
         )
         self._append(_conform(rows, PREDICTIONS), "predictions")
 
+    def analysis(self, analysis_id: str):
+        """The row of one analysis."""
+        row = self.analyses().where(F.col("analysis_id") == analysis_id).first()
+        if row is None:
+            raise KeyError(analysis_id)
+        return row
+
     def restore_types(self, dataset_id: str) -> dict[str, str]:
         """Column types stored with an earlier dataset."""
         row = self.datasets().where(F.col("dataset_id") == dataset_id).select("column_types").first()
