@@ -37,9 +37,12 @@ def other_stats_sql(c, shown):
       (SELECT v FROM (SELECT {shown} AS v, count(*) AS n FROM orders GROUP BY 1) ORDER BY n DESC, v LIMIT 1) FROM orders"""
 
 
-@query("run_datasets", "SELECT *, (SELECT count(*) FROM orders) AS n_rows FROM (" + "\nUNION ALL\n".join(
+STATS_SQL = "\nUNION ALL\n".join(
     [number_stats_sql(c) for c in ORDER_NUMBERS]
-    + [other_stats_sql(c, "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')" if c == "o_orderdate" else c) for c in ORDER_OTHERS]) + ")")
+    + [other_stats_sql(c, "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')" if c == "o_orderdate" else c) for c in ORDER_OTHERS])
+
+
+@query("run_datasets", f"SELECT *, (SELECT count(*) FROM orders) AS n_rows FROM ({STATS_SQL})")
 def run_datasets(spark, d):
     store, _ = stored_dataset(spark, d)
     stats = store.datasets().select("n_rows", F.explode("column_stats").alias("column", "s"))
@@ -54,10 +57,14 @@ def restore_types(spark, d):
     return runs.types_long(runs.types_from_json(exported)).select("column", "type")
 
 
-@query("profile_json")
+@query("profile_json", STATS_SQL)
 def profile_json(spark, d):
+    """The column statistics as exported JSON, read again by any JSON reader."""
     store, _ = stored_dataset(spark, d)
-    return runs.profile_json(store.datasets())
+    exported = runs.profile_json(store.datasets())
+    kind = "map<string,struct<mean:double,median:double,n_unique:bigint,nulls:bigint,top3:array<string>>>"
+    stats = exported.select(F.explode(F.from_json("column_stats", kind)).alias("column", "s"))
+    return stats.select("column", "s.mean", "s.median", "s.n_unique", "s.nulls", F.get("s.top3", F.lit(0)).alias("top1"))
 
 
 @query("run_predictions", """WITH line AS (SELECT regr_slope(c_acctbal, c_nationkey) AS slope, regr_intercept(c_acctbal, c_nationkey) AS icept FROM customer),
