@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabcast.functions import bands
-from tabcast.operators import comoment
+from tabcast.operators import comoment, tsqr
 
 # Moments per scan of built-in aggregates: more would outgrow what the JVM compiles.
 MOMENTS_PER_PASS = 25
@@ -181,20 +181,40 @@ def cross_validate(df: DataFrame, features: list[str], target: str, fold: str, a
     return df.sparkSession.createDataFrame(rows, "fold int, n bigint, r2 double")
 
 
+# A column is constant if its deviations are below this share of its size; a direction is dropped below this share of the largest.
+CONSTANT_SHARE = 1e-12
+RANK_SHARE = 1e-9
+
+
+def _solved(n: int, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float, float]:
+    """Coefficients behind the constant, inverse of the centred cross products, rank, squared error and spread of the target."""
+    inner, target = r[1:-1, 1:-1], r[1:-1, -1]
+    scale = np.sqrt((inner * inner).sum(axis=0))
+    moving = scale > CONSTANT_SHARE * np.abs(r[0, 1:-1])
+    scale = np.where(moving, scale, 1.0)
+    u, share, v = np.linalg.svd(np.where(moving, inner, 0.0) / scale)
+    kept = share > RANK_SHARE * max(share.max(initial=0.0), 1e-300)
+    back = np.where(kept, 1 / np.where(kept, share, 1.0), 0.0)
+    coef = (v.T * back) @ (u.T @ target) / scale
+    inverse = (v.T * back**2) @ v / np.outer(scale, scale)
+    left = target - np.where(moving, inner, 0.0) @ coef
+    return coef, inverse, int(kept.sum()), float(left @ left + r[-1, -1] ** 2), float(r[1:, -1] @ r[1:, -1])
+
+
 def ols(df: DataFrame, target: str, features: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Term table (coef, std error, t, p, E-value, tier) and one-row fit table."""
+    """Term table (coef, std error, t, p, E-value, tier) and one-row fit table, from the triangle of all columns."""
     if target in features:
         raise ValueError(f"target {target} is among the features")
-    m, spark = moments(df, features, target)[None], df.sparkSession
-    fit = solve(m, features)
-    xx, total = m.co[:-1, :-1], float(m.co[-1, -1])
-    rank = int(np.linalg.matrix_rank(_correlation(xx), tol=1e-10, hermitian=True))
-    free = m.n - rank - 1
-    error = squared_error(fit, m)
+    spark = df.sparkSession
+    n, r = tsqr.triangle(df, [*features, target])
+    coef, inverse, rank, error, total = _solved(n, r)
+    means = r[0, 1:] / r[0, 0] if n else np.full(len(features) + 1, math.nan)
+    fit = LinearFit(features, coef, float(means[-1] - coef @ means[:-1]), Moments(n, means, np.zeros((len(means),) * 2)))
+    m = fit.moments
+    free = n - rank - 1
     variance = error / free if free > 0 else math.nan
-    inverse = _inverse(xx)
-    mean = m.mean[:-1]
-    spread = [1 / m.n + float(mean @ inverse @ mean), *np.diag(inverse).tolist()]
+    mean = means[:-1]
+    spread = [1 / n + float(mean @ inverse @ mean) if n else math.nan, *np.diag(inverse).tolist()]
     terms = []
     for name, coef, share in zip(["const", *features], [fit.intercept, *fit.coef.tolist()], spread):
         se = math.sqrt(variance * share) if variance * share >= 0 else math.nan
@@ -219,12 +239,6 @@ def tiers(table: DataFrame) -> DataFrame:
     return table.where(F.col("term") != "const").select("tier", "term", "p")
 
 
-def _correlation(co: np.ndarray) -> np.ndarray:
-    scale = np.sqrt(np.diag(co))
-    safe = np.where(scale > 0, scale, 1.0)
-    return co / np.outer(safe, safe)
-
-
 def _beta_share(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by Lentz's continued fraction."""
     if x <= 0 or x >= 1:
