@@ -1,16 +1,21 @@
 """Line dedup by a suffix array over line-ID sequences, built by prefix doubling.
 
 A document is the sequence of its non-blank lines. A suffix starts at any
-line; its rank after round t is the number of suffixes that sort before its
-first 2^t lines. Round t + 1 sorts by the pair (own rank, rank 2^t lines on),
-so ranks come from sums over distinct pairs, which partial aggregates count.
-Suffixes that share their rank with no other leave: they repeat nothing.
-
-Once ranks cover ``min_lines`` lines, suffixes of equal rank are the
-intervals of the suffix array whose common prefix is at least that long. The
-first suffix of an interval (smallest document id, then line) stays; the
-lines under all others are later copies. Neighbouring copies whose first
-places neighbour too make one maximal repeated run.
+line; its rank at a depth is the number of suffixes that sort before its
+first so many lines. The next depth sorts by the pair (own rank, rank that
+many lines on), so ranks come from sums over distinct pairs, which partial
+aggregates count. Suffixes that share their rank with no other leave, and
+doubling goes on until no rank is shared.
+
+Suffixes of equal rank are the intervals of the suffix array whose common
+prefix has at least that depth. The first suffix of an interval (smallest
+document id, then line) stays; all others are later copies of its prefix.
+Each place keeps the longest copy found there; neighbouring copies whose
+first places neighbour too make one maximal repeated run.
+
+A repeated run counts if it has ``min_lines`` lines or ``min_words`` words.
+Below ``min_lines`` the depth grows by one line instead of doubling, so that
+short runs are judged by their own words.
 
 Lines are compared without surrounding white space, by 64-bit hash; a run of
 two or more lines is compared by as many hashes.
@@ -22,66 +27,99 @@ repeat id and text count as one document. Overlapping copies in one document
 (a b a b a b) keep the first place's lines.
 """
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabcast.llm import words
-from tabcast.operators.order import materialise, running_total
+from tabcast.operators.order import lookup, materialise, running_total
 
 MIN_LINES = 2
+MIN_WORDS = 10
 # Distinct ranks that one task sorts.
 _SORTED = 20_000
+# Distinct ranks that may be broadcast, with the first place of each.
+_BROADCAST = 50_000
 _KEY = ["_k1", "_k2"]
+_PLACE = ["id", *_KEY, "pos", "line"]
+_SPACE = " \t\r\f\v"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k1, k2, id, pos, line, h) of every non-blank line; ``line`` counts blank ones too."""
-    cut = F.transform(F.split(F.col("text"), "\n"), lambda text, i: F.struct(i.alias("line"), F.trim(text, F.lit(" \t\r\f\v")).alias("text")))
+    """(id, k1, k2, pos, line, h, words) of every non-blank line; ``line`` counts blank ones too."""
+    cut = F.transform(F.split(F.col("text"), "\n"), lambda text, i: F.struct(i.alias("line"), F.trim(text, F.lit(_SPACE)).alias("text")))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[id_col]).alias("_k1"), F.xxhash64(docs[text_col], docs[id_col]).alias("_k2"))
     found = rows.select("id", *_KEY, F.posexplode(F.filter(cut, lambda x: x["text"] != "")).alias("pos", "at"))
-    return found.select("id", *_KEY, "pos", F.col("at.line").alias("line"), F.xxhash64("at.text").alias("h"))
+    n_words = F.size(F.split("at.text", f"[{_SPACE}]+"))
+    return found.select("id", *_KEY, "pos", F.col("at.line").alias("line"), F.xxhash64("at.text").alias("key"), n_words.alias("words"))
 
 
-def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows whose ``by`` is not unique, with ``rank`` in its place."""
-    shared = rows.groupBy(*by).count().where("count > 1")
-    ranks = running_total(materialise(shared), by, F.col("count"), "rank", _SORTED)
-    return rows.join(ranks.drop("count"), by).drop(*by)
+def _ranked(rows: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is not unique, with ``rank`` and the ``first`` place of the key instead."""
+    place = F.struct(F.col("id").isNull().alias("n"), *_PLACE)
+    shared = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("first")).where("count > 1"))
+    ranks = running_total(shared, ["key"], F.col("count"), "rank", _SORTED)
+    return lookup(rows, ranks.drop("count"), "key", "inner", _BROADCAST, shared.count()).drop("key")
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """Later copies of ``min_lines`` lines: place (id, k1, k2, pos, line, last) and the place of the first copy.
+def intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES):
+    """Depth after depth, the suffixes that share their rank there: (depth, place, last, words, rank, first).
+
+    ``last`` is the line at which the prefix of that depth ends.
+    """
+    lines = materialise(_lines(docs, id_col, text_col))
+    # Rows that repeat id and text are one document.
+    single = materialise(_ranked(lines).withColumn("last", F.col("line")).dropDuplicates([*_KEY, "pos"]))
+    suffixes, depth = single, 1
+    while not suffixes.isEmpty():
+        yield depth, suffixes
+        # Short runs grow by a line, longer ones double.
+        by, more = (single, 1) if depth < min_lines else (suffixes, depth)
+        on = by.select(*_KEY, (F.col("pos") - depth).alias("pos"), F.col("rank").alias("next"), F.col("last").alias("end"), F.col("words").alias("more"))
+        pairs = suffixes.join(on, [*_KEY, "pos"]).select(
+            *_PLACE, F.col("end").alias("last"), (F.col("words") + F.col("more")).alias("words"), F.struct("rank", "next").alias("key"),
+        )
+        suffixes = materialise(_ranked(materialise(pairs)))
+        depth += more
+
+
+def copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS,
+) -> DataFrame:
+    """The longest later copy found at each place: (id, k1, k2, pos, line, last) and the place of its first copy.
 
     Columns ``first_*`` name the first place; ``line`` and ``last`` are the
     line numbers of the copy's ends, counted with blank lines.
     """
     if min_lines < 1:
         raise ValueError("a run has at least one line")
-    suffixes = materialise(_ranked(materialise(_lines(docs, id_col, text_col)), ["h"]).withColumn("last", F.col("line")))
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        on = suffixes.select(*_KEY, (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"), F.col("last").alias("end"))
-        # Rows that repeat id and text have equal suffixes; one continues each.
-        pairs = suffixes.join(on.distinct(), [*_KEY, "pos"]).drop("last").withColumnsRenamed({"end": "last", "rank": "own"})
-        suffixes = materialise(_ranked(pairs, ["own", "next"]))
-        depth += step
-    place = F.struct(F.col("id").isNull().alias("n"), "id", "_k1", "_k2", "pos", "line", "last")
-    first = suffixes.groupBy("rank").agg(F.min(place).alias("first"))
-    later = suffixes.join(first, "rank").where(
-        (F.col("first._k1") != F.col("_k1")) | (F.col("first._k2") != F.col("_k2")) | (F.col("first.pos") != F.col("pos"))
+    later = (F.col("first._k1") != F.col("_k1")) | (F.col("first._k2") != F.col("_k2")) | (F.col("first.pos") != F.col("pos"))
+    found = [
+        suffixes.where(later if depth >= min_lines else later & (F.col("words") >= min_words))
+        .select(*_KEY, "pos", F.struct("last", "id", "line", "first").alias("copy"))
+        for depth, suffixes in intervals(docs, id_col, text_col, min_lines)
+    ]
+    if not found:
+        found = [
+            docs.limit(0).select(
+                *[F.lit(0).cast("long").alias(k) for k in _KEY], F.lit(0).alias("pos"),
+                F.struct(
+                    F.lit(0).alias("last"), docs[id_col].alias("id"), F.lit(0).alias("line"),
+                    F.struct(docs[id_col].alias("id"), *[F.lit(0).cast("long").alias(k) for k in _KEY], F.lit(0).alias("pos"), F.lit(0).alias("line")).alias("first"),
+                ).alias("copy"),
+            )
+        ]
+    longest = reduce(DataFrame.unionAll, found).groupBy(*_KEY, "pos").agg(F.max_by("copy", "copy.last").alias("copy"))
+    return longest.select(
+        "copy.id", *_KEY, "pos", "copy.line", "copy.last", F.col("copy.first.id").alias("first_id"), F.col("copy.first._k1").alias("first_k1"),
+        F.col("copy.first._k2").alias("first_k2"), F.col("copy.first.pos").alias("first_pos"), F.col("copy.first.line").alias("first_line"),
     )
-    return later.select(
-        "id", *_KEY, "pos", "line", "last", F.col("first.id").alias("first_id"), F.col("first._k1").alias("first_k1"),
-        F.col("first._k2").alias("first_k2"), F.col("first.pos").alias("first_pos"), F.col("first.line").alias("first_line"),
-    ).distinct()
 
 
 def maximal_runs(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Copies joined to maximal runs: id, start_line, end_line, first_id, first_line, per copied run."""
-    from pyspark.sql import Window
-
     same = ["_k1", "_k2", "first_k1", "first_k2", "shift"]
     rows = found.withColumn("shift", F.col("pos") - F.col("first_pos"))
     island = F.col("pos") - F.row_number().over(Window.partitionBy(*same).orderBy("pos"))
@@ -89,7 +127,10 @@ def maximal_runs(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.first("id").alias(id_col), F.min("line").alias("start_line"), F.max("last").alias("end_line"),
         F.first("first_id").alias("first_id"), F.min("first_line").alias("first_line"),
     )
-    return joined.select(id_col, "start_line", "end_line", "first_id", "first_line")
+    # The tail of a run may have an earlier first place of its own; it lies inside the run.
+    before = Window.partitionBy(*_KEY).orderBy("start_line", F.desc("end_line"), "shift", *same[2:4]).rowsBetween(Window.unboundedPreceding, -1)
+    outer = joined.withColumn("reached", F.max("end_line").over(before)).where("reached is null or reached < end_line")
+    return outer.select(id_col, "start_line", "end_line", "first_id", "first_line")
 
 
 def without_cuts(whole: str, cuts: list[dict]) -> str:
@@ -113,9 +154,11 @@ def _without(text: Column, cuts: Column) -> Column:
     return cut(text, cuts)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, name: str | None = None) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, name: str | None = None,
+) -> DataFrame:
     """All documents, the text without later copies of repeated runs; in column ``name``, if given, beside the text."""
-    found = copies(docs, id_col, text_col, min_lines).select(*_KEY, F.struct("line", "last").alias("cut"))
+    found = copies(docs, id_col, text_col, min_lines, min_words).select(*_KEY, F.struct("line", "last").alias("cut"))
     cuts = found.groupBy(*_KEY).agg(F.collect_list("cut").alias("_cuts"))
     keyed = words.with_row_key(docs, id_col, text_col).join(cuts, _KEY, "left")
     text = F.col("row")[text_col]

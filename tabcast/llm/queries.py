@@ -112,7 +112,7 @@ def op5(spark, folder):
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-LINE_SQL = """
+LINE_SQL = f"""
 WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 every_line AS (SELECT doc_id, unnest(lines) AS text, unnest(range(len(lines))) AS line FROM raw),
 trimmed AS (SELECT doc_id, line, text, trim(text, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS own FROM every_line),
@@ -120,10 +120,13 @@ sequence AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS
 windows AS (
   SELECT doc_id, line, own, lead(own) OVER w AS next, lead(line) OVER w AS last
   FROM sequence WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+runs AS (
+  SELECT doc_id, line, last, own, next FROM windows WHERE next IS NOT NULL
+  UNION ALL SELECT doc_id, line, line, own, NULL FROM sequence WHERE len(regexp_extract_all(own, '[^ \\t\\v\\f\\r]+')) >= {line_dedup.MIN_WORDS}),
 copies AS (
-  SELECT doc_id, line, last FROM (
-    SELECT *, row_number() OVER (PARTITION BY own, next ORDER BY doc_id, line) AS place FROM windows WHERE next IS NOT NULL)
-  WHERE place > 1),
+  SELECT doc_id, line, max(last) AS last FROM (
+    SELECT *, row_number() OVER (PARTITION BY own, next ORDER BY doc_id, line) AS place FROM runs)
+  WHERE place > 1 GROUP BY doc_id, line),
 marks AS (
   SELECT e.doc_id, e.line, e.text, c.doc_id IS NOT NULL AS gone
   FROM every_line e LEFT JOIN (SELECT DISTINCT doc_id, unnest(range(line, last + 1)) AS line FROM copies) c

@@ -12,13 +12,13 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as job
 import corpus_pipeline
-from tabcast.llm import decontaminate, language_id, queries, simhash, words
+from tabcast.llm import decontaminate, language_id, line_dedup, queries, simhash, words
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_one_query_an_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
     assert {*queries.QUERIES, "pipeline"} <= set(job.queries())
 
 
@@ -63,7 +63,7 @@ def test_run_against_brute_force(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     judge = language_id.Classifier(language_id.train(docs))
     kept = [(r["doc_id"], r["text"]) for r in docs.collect() if not judge.classify(r["text"])[2]]
-    less = lines_left(kept, 2)
+    less = lines_left(kept, line_dedup.MIN_LINES, line_dedup.MIN_WORDS)
     texts = {ident: less[ident, text] for ident, text in kept}
     prints = {ident: slow_fingerprint(text, 3) for ident, text in texts.items()}
     roots = slow_components(prints.values())
