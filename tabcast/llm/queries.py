@@ -50,7 +50,7 @@ def _template_regex(markup: str) -> str:
         elif text == "<</opt>>":
             out.append(")?")
         elif least:
-            out.append(f"(?:{kind or '[^ ]+'} ){{{least},{most}}}")
+            out.append(f"(?:(?:{kind or '[^ ]+'}) ){{{least},{most}}}")
         else:
             out.append(f"{text} ")
     return " " + "".join(out)
@@ -62,7 +62,7 @@ def _license_sql() -> str:
         for a, b, *c in (phrase.split() for phrase in license_scan.PHRASES)
     ]
     base = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for p, label in zip(places, license_scan.PHRASES.values()))
-    full = ", ".join(f"CASE WHEN regexp_matches(joined, '{_template_regex(t)}') THEN '{label}' END" for label, t in license_scan.TEMPLATES.items())
+    full = ", ".join(f"CASE WHEN regexp_matches(joined, '{_template_regex(t)}') THEN '{label}' END" for label, t in license_scan.markups(license_scan.TEMPLATES))
 
     def labels(found):
         return f"coalesce(array_to_string(list_sort(list_distinct(list_filter({found}, lambda x: x IS NOT NULL))), ','), '')"

@@ -195,5 +195,76 @@ def test_template_needs_mandatory_words():
         license_scan.compile_template("x", "<<opt>>a<</opt>>")
 
 
+def worded(template, rng):
+    """Words of a template's text, and whether each is mandatory: optional regions at random, replaceable ones filled."""
+    out, gone, depth = [], 0, 0
+    for mark in license_scan.MARK.finditer(template):
+        text, least, most, kind = mark.group(0, 1, 2, 3)
+        depth += (text == "<<opt>>") - (text == "<</opt>>")
+        if text == "<<opt>>":
+            gone = gone + 1 if gone or rng.random() < 0.5 else 0
+        elif text == "<</opt>>":
+            gone = max(0, gone - 1)
+        elif not gone:
+            if least:
+                some = [w for w in ["1", "noninfringement", "some"] if re.fullmatch(kind or "some", w)]
+                out += [(some[0], False)] * max(int(least), rng.randint(0, 1))
+            else:
+                out.append((text, not depth))
+    return out
+
+
+WHOLE = ("mit-text", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0-notice", "mpl-2.0-notice")
+
+
+@pytest.mark.parametrize("label", WHOLE)
+def test_whole_licenses(label):
+    """A whole text has its own label and no other whole one; each changed or dropped mandatory word loses it."""
+    scanner, rng = license_scan.Scanner(), random.Random(3)
+
+    def labels(words):
+        return {m["label"] for m in scanner.scan(" ".join(words).encode())["matches"]} & set(WHOLE)
+
+    for _ in range(5):
+        tokens = worded(license_scan.TEMPLATES[label], rng)
+        own = [w for w, _ in tokens]
+        assert labels(["before", *own, "after"]) == {label}
+        assert labels([w.upper() + rng.choice([",", ".", "\n"]) for w in own]) == {label}
+        for at, (word, fixed) in enumerate(tokens):
+            if fixed:
+                assert not labels(own[:at] + ["altered"] + own[at + 1 :]), (at, word)
+                if at + 1 < len(own) and own[at + 1] != word and tokens[at + 1][1] and at and tokens[at - 1][1]:
+                    assert label not in labels(own[:at] + own[at + 1 :]), (at, word)
+
+
+def test_gnu_notices():
+    notice = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    scanner = license_scan.Scanner()
+    for kind, version, label in (("", "3", "gpl-3.0"), ("", "2", "gpl-2.0"), ("Lesser ", "2.1", "lgpl"), ("Lesser ", "3", "lgpl")):
+        found = scanner.scan(notice.format("program", kind, version).encode())["matches"]
+        assert {m["label"] for m in found if m["kind"] == "template"} == {label}
+
+
+def test_whole_texts_as_templates():
+    rng = random.Random(8)
+    texts = {f"long-{i}": prose(rng, 4000, "abcdef") for i in range(3)}
+    scanner = license_scan.Scanner(license_scan.text_templates(texts), {})
+    for label, text in texts.items():
+        found = text.split()
+        assert [(m["label"], m["start_word"], m["end_word"]) for m in scanner.scan(f"x {text} y".encode())["matches"]] == [(label, 1, 4001)]
+        at = rng.randrange(4000)
+        assert not scanner.scan(" ".join(found[:at] + found[at + 1 :]).encode())["matches"]
+
+
+def test_licenses_of_odd_rows(spark):
+    """Null ids, repeated rows, clashing columns and a long text that repeats a notice."""
+    long = " ".join(list(NOTICES)[:6] * 3000)
+    rows = [(None, "the MIT license", "own"), (1, long, "own"), (1, long, "own"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found string")
+    got = license_scan.license_digest(license_scan.license_scan(docs)).collect()
+    every = "apache,apache-2.0,cc-by,cc-by-nc,gpl,gpl-3.0,mit,mit-notice"
+    assert sorted((r["doc_id"] or 0, r["n_base"], r["labels"]) for r in got) == [(0, 0, ""), (0, 1, "mit"), (1, 12000, every), (1, 12000, every)]
+
+
 def test_no_licenses(no_docs):
     assert license_scan.license_digest(license_scan.license_scan(no_docs)).count() == 0
