@@ -41,7 +41,7 @@ MIN_WORDS = 10
 # Distinct ranks that one task sorts.
 _SORTED = 20_000
 # Distinct ranks that may be broadcast, with the first place of each.
-_BROADCAST = 5_000
+_BROADCAST = 50_000
 _KEY = ["_k1", "_k2"]
 _PLACE = ["id", *_KEY, "pos", "line"]
 _SPACE = " \t\r\f\v"
