@@ -228,17 +228,20 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float], sma
     return {c: [sql.number(between(c, p)) for p in places[c]] if c in places else ["cast(null as double)"] * len(probabilities) for c in columns}
 
 
-def running_total(df: DataFrame, order_by: list[str], weight: Column, name: str, small: int = BROADCAST_ROWS) -> DataFrame:
+def running_total(
+    df: DataFrame, order_by: list[str], weight: Column, name: str, small: int = BROADCAST_ROWS, size: int | None = None,
+) -> DataFrame:
     """Add ``name``: total weight of the rows that sort strictly before each row.
 
     ``order_by`` must be unique. Large inputs are split by sorted range, and
     the range of each row is fixed on shared storage before it is used twice.
+    An already known ``size`` spares the counts.
     """
     rows = df.withColumn("_weight", weight.cast("bigint"))
-    if at_most(df, small):
+    if at_most(df, small) if size is None else size <= small:
         before = Window.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return rows.withColumn(name, F.sum("_weight").over(before) - F.col("_weight")).drop("_weight")
-    ranges = max(2, math.ceil(rows.count() / small))
+    ranges = max(2, math.ceil((rows.count() if size is None else size) / small))
     placed = materialise(rows.repartitionByRange(ranges, *order_by).withColumn("_range", F.spark_partition_id()))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
