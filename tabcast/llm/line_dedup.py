@@ -56,12 +56,15 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.select("id", *_KEY, "pos", F.col("at.line").alias("line"), F.xxhash64("at.text").alias("key"), n_words.alias("words"))
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """The rows whose ``key`` is not unique, with ``rank`` and the ``first`` place of the key instead."""
+def _ranked(rows: DataFrame) -> DataFrame | None:
+    """The rows whose ``key`` is not unique, with ``rank`` and the ``first`` place of the key instead; None if there are none."""
     place = F.struct(F.col("id").isNull().alias("n"), *_PLACE)
     shared = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("first")).where("count > 1"))
-    ranks = running_total(shared, ["key"], F.col("count"), "rank", _SORTED)
-    return lookup(rows, ranks.drop("count"), "key", "inner", _BROADCAST, shared.count()).drop("key")
+    size = shared.count()
+    if not size:
+        return None
+    ranks = running_total(shared, ["key"], F.col("count"), "rank", _SORTED, size)
+    return lookup(rows, ranks.drop("count"), "key", "inner", _BROADCAST, size).drop("key")
 
 
 def intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES):
@@ -71,9 +74,11 @@ def intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     lines = materialise(_lines(docs, id_col, text_col))
     # Rows that repeat id and text are one document.
-    single = materialise(_ranked(lines).withColumn("last", F.col("line")).dropDuplicates([*_KEY, "pos"]))
-    suffixes, depth = single, 1
-    while not suffixes.isEmpty():
+    ranked, depth = _ranked(lines), 1
+    if ranked is None:
+        return
+    single = suffixes = materialise(ranked.withColumn("last", F.col("line")).dropDuplicates([*_KEY, "pos"]))
+    while True:
         yield depth, suffixes
         # Short runs grow by a line, longer ones double.
         by, more = (single, 1) if depth < min_lines else (suffixes, depth)
@@ -81,7 +86,10 @@ def intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         pairs = suffixes.join(on, [*_KEY, "pos"]).select(
             *_PLACE, F.col("end").alias("last"), (F.col("words") + F.col("more")).alias("words"), F.struct("rank", "next").alias("key"),
         )
-        suffixes = materialise(_ranked(materialise(pairs)))
+        ranked = _ranked(materialise(pairs))
+        if ranked is None:
+            return
+        suffixes = materialise(ranked)
         depth += more
 
 
