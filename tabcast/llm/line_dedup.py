@@ -34,14 +34,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabcast.llm import words
-from tabcast.operators.order import lookup, materialise, running_total
+from tabcast.operators.order import HOT_SHARE, materialise, running_total
 
 MIN_LINES = 2
 MIN_WORDS = 10
 # Distinct ranks that one task sorts.
-_SORTED = 20_000
-# Distinct ranks that may be broadcast, with the first place of each.
-_BROADCAST = 50_000
+_SORTED = 100_000
+# Suffixes of one rank that may meet in one task. Each broadcast holds pages of the driver's memory, so only hotter ranks are broadcast.
+_TOGETHER = 50_000
 _KEY = ["_k1", "_k2"]
 _PLACE = ["id", *_KEY, "pos", "line"]
 _SPACE = " \t\r\f\v"
@@ -60,11 +60,19 @@ def _ranked(rows: DataFrame) -> DataFrame | None:
     """The rows whose ``key`` is not unique, with ``rank`` and the ``first`` place of the key instead; None if there are none."""
     place = F.struct(F.col("id").isNull().alias("n"), *_PLACE)
     shared = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("first")).where("count > 1"))
-    size = shared.count()
+    size, total, most = shared.agg(F.count(F.lit(1)), F.sum("count"), F.max("count")).first()
     if not size:
         return None
     ranks = running_total(shared, ["key"], F.col("count"), "rank", _SORTED, size)
-    return lookup(rows, ranks.drop("count"), "key", "inner", _BROADCAST, size).drop("key")
+    hot = max(_TOGETHER, total // HOT_SHARE)
+    if most <= hot:
+        return rows.join(ranks.drop("count").hint("merge"), "key").drop("key")
+    # At most HOT_SHARE keys are hot; their rows stay where they are.
+    ranks = materialise(ranks)
+    marked = rows.join(F.broadcast(ranks.where(F.col("count") > hot).drop("count")), "key", "left")
+    others = ranks.where(F.col("count") <= hot).drop("count").hint("merge")
+    rare = marked.where("rank is null").drop("rank", "first").join(others, "key")
+    return marked.where("rank is not null").unionByName(rare).drop("key")
 
 
 def intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES):

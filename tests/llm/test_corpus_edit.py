@@ -82,10 +82,10 @@ def test_long_single_lines_go(spark):
     assert all(got[i] == f"{short}\nown {i}\nalso own {i}\n{short}" for i in range(1, 300))
 
 
-@pytest.mark.parametrize(("adaptive", "parts"), [("true", 8), ("false", 3), ("true", 211)])
-def test_hot_ranks_apart(spark, docs, rows, monkeypatch, adaptive, parts):
-    """Ranks beyond what may be broadcast are joined by a shuffle, hot ones apart, with the same rows."""
-    monkeypatch.setattr(line_dedup, "_BROADCAST", 0)
+@pytest.mark.parametrize(("adaptive", "parts", "together"), [("true", 8, 2), ("false", 3, 3), ("true", 211, 2), ("true", 8, 0)])
+def test_hot_ranks_apart(spark, docs, rows, monkeypatch, adaptive, parts, together):
+    """Hot ranks are broadcast and the others joined by a shuffle, with the same rows; some, or all, are hot here."""
+    monkeypatch.setattr(line_dedup, "_TOGETHER", together)
     old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
     try:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
