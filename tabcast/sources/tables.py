@@ -16,16 +16,19 @@ def read_table(
     path: str,
     fmt: str = "csv",
     schema: T.StructType | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read a table; CSV cells holding a missing word become null before typing.
 
-    A given ``schema`` saves the inference pass. ``multi_line=False`` lets
-    Spark split large CSV files, for files without line breaks inside quotes.
+    A given ``schema`` saves the inference pass. Large CSV files are split
+    among tasks where ``lines_are_records`` allows; a given ``multi_line``
+    saves the pass that tells.
     """
     if fmt != "csv":
         reader = spark.read.format(fmt)
         return V.nan_to_null((reader.schema(schema) if schema else reader).load(path))
+    if multi_line is None:
+        multi_line = not lines_are_records(spark, path)
     cells = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     cells = cells.selectExpr(*[
         f"case when {sql.name(c)} not in {sql.words(MISSING_WORDS)} then {sql.name(c)} end as {sql.name(c)}" for c in cells.columns
@@ -34,6 +37,25 @@ def read_table(
     return cells.selectExpr(*[f"try_cast({sql.name(c)} as {types[c]}) as {sql.name(c)}" for c in cells.columns])
 
 
+def lines_are_records(spark: SparkSession, path: str) -> bool:
+    """True when each line of the CSV files is a record by itself, told by one distributed pass over the lines.
+
+    Then a reader that splits files at line ends finds the same rows as one
+    that reads each file in one task. A line passes if every quote in it
+    belongs to a whole quoted cell, doubled quotes aside. Lines of blanks
+    only, carriage returns within lines and mixed line ends do not pass: the
+    two readers treat them differently.
+    """
+    lines = spark.read.text(path, lineSep="\n")
+    line = F.regexp_replace("value", r"\r\z", "")
+    unquoted = F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), r'(?:^|(?<=,))"[^"]*"(?=,|\z)', "")
+    doubtful = unquoted.contains('"') | line.contains("\r") | line.rlike(r"\A[\x00-\x20]+\z")
+    found = lines.agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("value").endswith("\r")).alias("returns"), F.count_if(doubtful).alias("doubtful"),
+    ).first()
+    return not found["doubtful"] and found["returns"] in (0, found["lines"])
+
+
 def infer_types(cells: DataFrame) -> dict[str, str]:
     """Narrowest of bigint, double, boolean and string that every cell fits, in one pass."""
     fits = []
