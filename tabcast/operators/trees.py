@@ -1,5 +1,6 @@
 """Forests and boosting by Spark ML, their importances, folds and tree intervals."""
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -12,6 +13,8 @@ from tabcast.operators import evaluate, node_table
 
 TREES = 120
 SEED = 42
+# Bytes of the points cached for a fit that one task may read in one pass.
+PART_BYTES = 1 << 28
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -33,16 +36,43 @@ def boosting(target: str, rounds: int = TREES, depth: int = 3, step: float = 0.1
     )
 
 
-def fit(estimator, rows: DataFrame):
-    """Fit on rows kept in memory (or on disk) for the many passes of a tree model.
+def point_bytes(estimator, features: int) -> int:
+    """Bytes that a task reads for each row in a pass of a fit, rounded up.
+
+    Spark ML caches a row as its binned features and, in a forest, one sample
+    count for each tree.
+    """
+    point = 128 + 4 * features
+    return point + 4 * estimator.getNumTrees() if isinstance(estimator, RandomForestRegressor) else point
+
+
+def feature_count(rows: DataFrame, features: str) -> int:
+    """Length of the vectors, by their metadata or else by the first one."""
+    known = rows.schema[features].metadata.get("ml_attr", {}).get("num_attrs")
+    if known is None:
+        first = rows.select(features).first()
+        known = first[0].size if first and first[0] is not None else 0
+    return known
+
+
+def spread(rows: DataFrame, estimator) -> DataFrame:
+    """Deal ``rows`` out where they lie in fewer partitions than there are cores or one holds too many for a task.
 
-    Rows in fewer partitions than there are cores are spread first.
+    A task of a fit reads all points of a partition, so the number of
+    partitions grows with the rows, and what one task reads does not.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    kept = rows.select(estimator.getFeaturesCol(), estimator.getLabelCol())
-    if kept.rdd.getNumPartitions() < cores:
-        kept = kept.repartition(cores)
-    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+    most = max(1, PART_BYTES // point_bytes(estimator, feature_count(rows, estimator.getFeaturesCol())))
+    held = rows.groupBy(F.spark_partition_id().alias("part")).count()
+    found = held.agg(F.max("count").alias("largest"), F.sum("count").alias("rows")).first()
+    if rows.rdd.getNumPartitions() >= cores and (found["largest"] or 0) <= most:
+        return rows
+    return rows.repartition(max(cores, math.ceil((found["rows"] or 0) / most)))
+
+
+def fit(estimator, rows: DataFrame):
+    """Fit on rows kept in memory (or on disk) for the many passes of a tree model, spread among tasks first."""
+    kept = spread(rows.select(estimator.getFeaturesCol(), estimator.getLabelCol()), estimator).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return estimator.fit(kept)
     finally:

@@ -127,3 +127,13 @@ def test_saved_models_score_alike(spark, vectors, folder, algorithm):
     assert {r["id"]: round(r["pred"], 9) for r in got.collect()} == {r["id"]: round(r["pred"], 9) for r in want.collect()}
     with pytest.raises(KeyError):
         store.analysis("none")
+
+
+@pytest.mark.parametrize("make", [trees.forest])
+def test_no_task_of_a_fit_holds_too_many_points(spark, monkeypatch, make):
+    """One partition far larger than the others, which are as many as the cores."""
+    rows = spark.range(0, 700_000, 1, 1).union(spark.range(0, 80, 1, 8)).selectExpr("cast(id as double) as a", "cast(id as double) as y")
+    estimator = make("y")
+    monkeypatch.setattr(type(estimator), "fit", lambda self, kept: kept.groupBy(F.spark_partition_id()).count().collect())
+    sizes = [r["count"] for r in trees.fit(estimator, trees.assemble(rows, ["a"]))]
+    assert sum(sizes) == 700_080 and max(sizes) < 150_000
