@@ -137,3 +137,12 @@ def test_no_task_of_a_fit_holds_too_many_points(spark, monkeypatch, make):
     monkeypatch.setattr(type(estimator), "fit", lambda self, kept: kept.groupBy(F.spark_partition_id()).count().collect())
     sizes = [r["count"] for r in trees.fit(estimator, trees.assemble(rows, ["a"]))]
     assert sum(sizes) == 700_080 and max(sizes) < 150_000
+
+
+def test_few_rows_stay_where_they_are(spark):
+    """Draws of a forest depend on the partitions; small inputs keep theirs."""
+    rows = trees.assemble(spark.range(0, 900, 1, 11).selectExpr("cast(id as double) as a", "cast(id as double) as y"), ["a"])
+    assert trees.spread(rows, trees.forest("y")) is rows
+    assert trees.spread(rows.limit(0), trees.forest("y")).count() == 0
+    bare = rows.withColumn("features", F.col("features").alias("features", metadata={}))
+    assert trees.feature_count(bare, "features") == trees.feature_count(rows, "features") == 1
