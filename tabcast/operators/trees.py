@@ -85,11 +85,7 @@ def cross_validate(df: DataFrame, target: str, fold: str, estimator, parallel: i
     The matrix is computed once and kept; up to ``parallel`` folds are fitted
     and scored side by side, and share the cluster.
     """
-    kept = df.select(fold, estimator.getFeaturesCol(), target)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if kept.rdd.getNumPartitions() < cores:
-        kept = kept.repartition(cores)
-    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = spread(df.select(fold, estimator.getFeaturesCol(), target), estimator).persist(StorageLevel.MEMORY_AND_DISK)
 
     @inheritable_thread_target(df.sparkSession)
     def score(held) -> tuple:

@@ -139,6 +139,26 @@ def test_no_task_of_a_fit_holds_too_many_points(spark, monkeypatch, make):
     assert sum(sizes) == 700_080 and max(sizes) < 150_000
 
 
+@pytest.mark.parametrize("parts", [1, 16])
+def test_partitions_of_a_fit_grow_with_the_rows(spark, monkeypatch, parts):
+    """Whole rows reach every fold, in partitions of bounded points."""
+    monkeypatch.setattr(trees, "PART_BYTES", 20_000, raising=False)
+    rows = trees.assemble(spark.range(0, 9000, 1, parts).selectExpr("id", "cast(id % 97 as double) as a", "cast(id % 31 as double) as y"), ["a"])
+    estimator, seen = trees.forest("y", trees=2, depth=2), []
+    whole = type(estimator).fit
+
+    def watched(self, kept):
+        seen.append([r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()])
+        return whole(self, kept)
+
+    monkeypatch.setattr(type(estimator), "fit", watched)
+    trees.fit(estimator, rows)
+    scores = trees.cross_validate(evaluate.kfold(rows, "id", 3), "y", "fold", estimator).collect()
+    assert [(r["fold"], r["n"]) for r in scores] == [(0, 3000), (1, 3000), (2, 3000)]
+    assert sorted(map(sum, seen)) == [6000, 6000, 6000, 9000]
+    assert max(map(max, seen)) <= 20_000 // 140 + parts
+
+
 def test_few_rows_stay_where_they_are(spark):
     """Draws of a forest depend on the partitions; small inputs keep theirs."""
     rows = trees.assemble(spark.range(0, 900, 1, 11).selectExpr("cast(id as double) as a", "cast(id as double) as y"), ["a"])
