@@ -40,10 +40,11 @@ def point_bytes(estimator, features: int) -> int:
     """Bytes that a task reads for each row in a pass of a fit, rounded up.
 
     Spark ML caches a row as its binned features and, in a forest, one sample
-    count for each tree.
+    count for each tree. A round of boosting reads points, counts and errors
+    to update the errors, and again to grow the next tree.
     """
     point = 128 + 4 * features
-    return point + 4 * estimator.getNumTrees() if isinstance(estimator, RandomForestRegressor) else point
+    return point + 4 * estimator.getNumTrees() if isinstance(estimator, RandomForestRegressor) else 3 * point
 
 
 def feature_count(rows: DataFrame, features: str) -> int:

@@ -129,7 +129,7 @@ def test_saved_models_score_alike(spark, vectors, folder, algorithm):
         store.analysis("none")
 
 
-@pytest.mark.parametrize("make", [trees.forest])
+@pytest.mark.parametrize("make", [trees.forest, trees.boosting])
 def test_no_task_of_a_fit_holds_too_many_points(spark, monkeypatch, make):
     """One partition far larger than the others, which are as many as the cores."""
     rows = spark.range(0, 700_000, 1, 1).union(spark.range(0, 80, 1, 8)).selectExpr("cast(id as double) as a", "cast(id as double) as y")
