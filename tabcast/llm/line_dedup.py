@@ -5,7 +5,10 @@ line; its rank at a depth is the number of suffixes that sort before its
 first so many lines. The next depth sorts by the pair (own rank, rank that
 many lines on), so ranks come from sums over distinct pairs, which partial
 aggregates count. Suffixes that share their rank with no other leave, and
-doubling goes on until no rank is shared.
+doubling goes on until no rank is shared. Each depth is written as a Parquet
+table: a checkpoint hands on the planner's estimate of its size, a join
+multiplies estimates, and so their digits would grow fourfold a depth on the
+driver.
 
 Suffixes of equal rank are the intervals of the suffix array whose common
 prefix has at least that depth. The first suffix of an interval (smallest
@@ -80,24 +83,24 @@ def intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     ``last`` is the line at which the prefix of that depth ends.
     """
-    lines = materialise(_lines(docs, id_col, text_col))
+    lines = words.stored(_lines(docs, id_col, text_col))
     # Rows that repeat id and text are one document.
     ranked, depth = _ranked(lines), 1
     if ranked is None:
         return
-    single = suffixes = materialise(ranked.withColumn("last", F.col("line")).dropDuplicates([*_KEY, "pos"]))
+    single = suffixes = words.stored(ranked.withColumn("last", F.col("line")).dropDuplicates([*_KEY, "pos"]))
     while True:
         yield depth, suffixes
         # Short runs grow by a line, longer ones double.
         by, more = (single, 1) if depth < min_lines else (suffixes, depth)
         on = by.select(*_KEY, (F.col("pos") - depth).alias("pos"), F.col("rank").alias("next"), F.col("last").alias("end"), F.col("words").alias("more"))
-        pairs = suffixes.join(on, [*_KEY, "pos"]).select(
+        pairs = suffixes.join(on.hint("merge"), [*_KEY, "pos"]).select(
             *_PLACE, F.col("end").alias("last"), (F.col("words") + F.col("more")).alias("words"), F.struct("rank", "next").alias("key"),
         )
-        ranked = _ranked(materialise(pairs))
+        ranked = _ranked(words.stored(pairs))
         if ranked is None:
             return
-        suffixes = materialise(ranked)
+        suffixes = words.stored(ranked)
         depth += more
 
 

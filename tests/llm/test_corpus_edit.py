@@ -74,6 +74,15 @@ def test_doubling_ends_with_the_longest_run(spark):
     assert runs == {(2, 19, 20, 1, 0), (3, 1, 21, 2, 0)}
 
 
+def test_size_estimates_stay_small(spark):
+    """The planner's estimate of a depth's size has no more digits than that of the depth before."""
+    text = "\n".join(f"line {i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"own {i}\n{text}") for i in range(3)], "doc_id long, text string")
+    levels = [(depth, rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for depth, rows in line_dedup.intervals(docs)]
+    assert [depth for depth, _ in levels] == [1, 2, 4, 8, 16]
+    assert all(size < 1 << 63 for _, size in levels)
+
+
 def test_long_single_lines_go(spark):
     long, short = "one line of more than ten words that many pages share", "Released under the same terms."
     docs = spark.createDataFrame([(i, f"{short}\nown {i}\n{long}\nalso own {i}\n{short}") for i in range(300)] + [(400, long), (401, short)], "doc_id long, text string")
