@@ -39,6 +39,19 @@ def test_stages(spark):
     assert last.select("doc_id").distinct().count() == counts[-1]
 
 
+def test_long_runs_leave_small_plans(spark):
+    """The stage of line dedup takes 400 common lines, and its plan estimates sizes of few digits."""
+    text = "\n".join(f"line {i}" for i in range(400))
+    docs = spark.createDataFrame([(i, f"own {i}\n{text}", 0) for i in range(3)], "doc_id long, text string, n_chars long")
+    less = corpus_pipeline.remove_repeated_lines(spark, docs, FOLDER)
+    plan = less._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    # Of whole texts and their cuts; the latter come from all depths.
+    assert plan.children().last().stats().sizeInBytes() < 1 << 63
+    assert {r["doc_id"]: r["text"] for r in less.collect()} == {0: f"own 0\n{text}", 1: "own 1", 2: "own 2"}
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns)
