@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabcast.operators.order import checkpoint_folder
@@ -20,6 +20,8 @@ from tabcast.operators.order import checkpoint_folder
 BLOCK_NODES = 1_000_000
 # Row and tree pairs that one step holds.
 _AT_ONCE = 1 << 20
+# Cells between thresholds for which a task keeps what it has found.
+CELLS = 1 << 18
 
 
 def node_table(spark: SparkSession, path: str) -> DataFrame:
@@ -98,6 +100,41 @@ class Walker:
             at[row, tree] = np.where(lower, self.left[node], self.right[node])
 
 
+class Cells:
+    """What rows get that lie between the same thresholds of all features, found once for each such cell."""
+
+    def __init__(self, walker: Walker, found):
+        """``found`` makes a row of results of each row of tree scores."""
+        split = walker.feature >= 0
+        self.walker, self.found = walker, found
+        self.cuts = {f: np.unique(walker.threshold[split & (walker.feature == f)]) for f in np.unique(walker.feature[split])}
+        self.size = 1
+        for cuts in self.cuts.values():
+            self.size *= len(cuts) + 1
+        # Sets of categories have no order; more cells are not worth a table.
+        if walker.categories or self.size > CELLS:
+            self.size = 0
+        self.place, self.rows = np.full(self.size, -1, np.int32), None
+
+    def __call__(self, matrix: np.ndarray) -> np.ndarray:
+        if not self.size:
+            return self._walked(matrix)
+        cell = np.zeros(len(matrix), np.int64)
+        for f, cuts in self.cuts.items():
+            cell = cell * (len(cuts) + 1) + np.searchsorted(cuts, matrix[:, f])
+        fresh = np.flatnonzero(self.place[cell] < 0)
+        if len(fresh) or self.rows is None:
+            new, first = np.unique(cell[fresh], return_index=True)
+            rows = self._walked(matrix[fresh[first]])
+            self.place[new] = np.arange(len(new)) + (0 if self.rows is None else len(self.rows))
+            self.rows = rows if self.rows is None else np.concatenate([self.rows, rows])
+        return self.rows[self.place[cell]]
+
+    def _walked(self, matrix: np.ndarray) -> np.ndarray:
+        step = max(1, _AT_ONCE // len(self.walker.roots))
+        return np.concatenate([self.found(self.walker.scores(matrix[at : at + step])) for at in range(0, max(len(matrix), 1), step)])
+
+
 def _blocks(nodes: DataFrame) -> list[tuple[int, int]]:
     """Runs of trees (first, last) whose nodes may be broadcast together."""
     sizes = sorted(tuple(r) for r in nodes.groupBy("tree").count().collect())
@@ -111,22 +148,62 @@ def _blocks(nodes: DataFrame) -> list[tuple[int, int]]:
     return blocks
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), len(flat) // max(len(vectors), 1))
+
+
 def _walking(walker):
     def walk(vectors: pa.Array) -> pa.Array:
-        flat = vectors.flatten().to_numpy(zero_copy_only=False)
-        scores = walker.value.scores(flat.reshape(len(vectors), len(flat) // max(len(vectors), 1)))
+        scores = walker.value.scores(_matrix(vectors))
         ends = np.arange(len(vectors) + 1) * scores.shape[1]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(scores.ravel()))
 
     return walk
 
 
+def _broadcast(nodes: DataFrame, first: int, last: int):
+    rows = nodes.where(F.col("tree").between(first, last)).orderBy("tree", "node").toArrow()
+    return nodes.sparkSession.sparkContext.broadcast(Walker.of(rows))
+
+
+def _quantile(ordered: np.ndarray, share: float) -> np.ndarray:
+    place = share * (ordered.shape[1] - 1)
+    low = int(place)
+    first, second = ordered[:, low], ordered[:, min(low + 1, ordered.shape[1] - 1)]
+    return first + (place - low) * (second - first)
+
+
+def mean_and_quantiles(nodes: DataFrame, df: DataFrame, shares: list[float], features: str = "features") -> Column | None:
+    """A struct of the mean of all trees (m) and interpolated quantiles among them (q0, q1, ...); None if the trees take several broadcasts."""
+    blocks = _blocks(nodes)
+    if len(blocks) != 1:
+        return None
+    walker, kept = _broadcast(nodes, *blocks[0]), []
+    names = ["m", *[f"q{i}" for i in range(len(shares))]]
+
+    def found(scores: np.ndarray) -> np.ndarray:
+        ordered = np.sort(scores, axis=1)
+        # One tree after the other, as Spark ML adds them.
+        mean = np.add.accumulate(scores, axis=1)[:, -1] / scores.shape[1]
+        return np.column_stack([mean, *[_quantile(ordered, s) for s in shares]])
+
+    def walk(vectors: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.StructArray.from_arrays([pa.array([], pa.float64())] * len(names), names)
+        if not kept:
+            kept.append(Cells(walker.value, found))
+        rows = kept[0](_matrix(vectors))
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names)
+
+    return F.arrow_udf(walk, f"struct<{', '.join(f'{n}: double' for n in names)}>")(vector_to_array(features))
+
+
 def score_by_tree(nodes: DataFrame, df: DataFrame, features: str = "features", name: str = "by_tree") -> DataFrame:
     """Add ``name``, the array of single-tree predictions in the order of the trees."""
-    spark, parts = df.sparkSession, []
+    parts = []
     for first, last in _blocks(nodes):
-        rows = nodes.where(F.col("tree").between(first, last)).orderBy("tree", "node").toArrow()
-        walk = _walking(spark.sparkContext.broadcast(Walker.of(rows)))
+        walk = _walking(_broadcast(nodes, first, last))
         parts.append(F.arrow_udf(walk, "array<double>")(vector_to_array(features)))
     return df.withColumn(name, F.concat(*parts))
 

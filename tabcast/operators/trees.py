@@ -5,16 +5,18 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabcast.operators import evaluate, node_table
+from tabcast.operators import cell_forest, evaluate, node_table
 
 TREES = 120
 SEED = 42
 # Bytes of the points cached for a fit that one task may read in one pass.
 PART_BYTES = 1 << 28
+# Bytes of all points from which a forest grows from cells, if it can.
+MANY_BYTES = 1 << 30
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -72,8 +74,15 @@ def spread(rows: DataFrame, estimator) -> DataFrame:
 
 
 def fit(estimator, rows: DataFrame):
-    """Fit on rows kept in memory (or on disk) for the many passes of a tree model, spread among tasks first."""
-    kept = spread(rows.select(estimator.getFeaturesCol(), estimator.getLabelCol()), estimator).persist(StorageLevel.MEMORY_AND_DISK)
+    """Fit on rows kept in memory (or on disk) for the many passes of a tree model, spread among tasks first.
+
+    Forests of many rows grow from cells instead, in one pass.
+    """
+    rows = rows.select(estimator.getFeaturesCol(), estimator.getLabelCol())
+    features = feature_count(rows, estimator.getFeaturesCol())
+    if cell_forest.grows(estimator, rows, features) and rows.count() * point_bytes(estimator, features) > MANY_BYTES:
+        return cell_forest.fit(estimator, rows, features)
+    kept = spread(rows, estimator).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return estimator.fit(kept)
     finally:
@@ -132,6 +141,13 @@ def array_quantile(ordered: Column, share: float, size: int) -> Column:
 def tree_interval(model, df: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Add ``pred``, ``ci_low`` and ``ci_high`` from the spread of a forest's trees."""
     size = model.getNumTrees
+    if isinstance(model, RandomForestRegressionModel) and model.getPredictionCol() == "pred":
+        # Its prediction is the mean of its trees; rows between the same thresholds share all three.
+        found = node_table.mean_and_quantiles(node_table.nodes_of(df.sparkSession, model), df, [low, high], model.getFeaturesCol())
+        if found is not None:
+            return df.withColumn("_found", found).withColumns({
+                "pred": F.col("_found.m"), "ci_low": F.col("_found.q0"), "ci_high": F.col("_found.q1"),
+            }).drop("_found")
     rows = tree_predictions(model, df).withColumn("by_tree", F.sort_array("by_tree"))
     return rows.withColumns({
         "ci_low": array_quantile(F.col("by_tree"), low, size),
